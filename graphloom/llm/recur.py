@@ -193,9 +193,12 @@ def _raw(column: pa.Array) -> list[bytes | None]:
 
 
 def keyed(docs: DataFrame, key: Column) -> DataFrame:
-    """The one exchange of texts: doc_id, text, the key that places it, and a second hash of the text."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("key", key).withColumn("th", F.xxhash64(F.lit(1), "text"))
+    """The one exchange of texts: doc_id, text, the key that places it, a second hash of the text, all other columns."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    d = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest")
+    )
+    d = d.select("doc_id", "text", key.alias("key"), F.xxhash64(F.lit(1), "text").alias("th"), "rest")
     return d.repartition(partitions(docs.sparkSession), "key")
 
 
@@ -220,8 +223,8 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
 
     # both uses of `seen` need all its columns, so its exchange is one
     seen = docs.mapInArrow(read, GRAMS).repartition(n, "g")
-    often = seen.groupBy("g").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("key").alias("k"))
-    often = often.filter(recurs(F.col("n"), F.col("lo"), F.col("hi")) & F.col("k").isNotNull()).select("g", (F.col("n") > hot).alias("hot"))
+    often = seen.groupBy("g").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("key").alias("k"), F.count("doc_id").alias("ids"))
+    often = often.filter(recurs(F.col("n"), F.col("lo"), F.col("hi")) & F.col("k").isNotNull() & (F.col("ids") >= 0)).select("g", (F.col("n") > hot).alias("hot"))
     hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot")).alias("gs"), F.count("doc_id").alias("ids"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:
@@ -266,7 +269,7 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
 
     def texts(hot: bool) -> DataFrame:
         some = hits.filter(F.exists("gs", lambda x: x["hot"] == F.lit(hot)))
-        return docs.join(some.hint("shuffle_hash"), "key").select("doc_id", "text", "key", "th", "gs", "ids")
+        return docs.join(some.hint("shuffle_hash"), "key").select("doc_id", "text", "key", "th", "rest", "gs", "ids")
 
     # all regions of a gram in one place: at most `hot` of them
     regions = texts(False).mapInArrow(cut, REGIONS).repartition(n, "route").sortWithinPartitions("route", "rh")

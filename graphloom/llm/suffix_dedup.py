@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 from .recur import SPANS, Bytes, batch, groups, keyed, merged, recurring_spans
@@ -186,19 +187,40 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> Dat
     more than `hot` occurrences are decided by counting their windows instead of sorting them.
     """
     d = keyed(documents(docs), F.xxhash64("doc_id", "text"))
+    return _cut(d, length, hot).select("doc_id", "n_bytes", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> DataFrame:
+    """docs, all columns, with the repeated bytes taken out of text; rows that lose their whole text go.
+
+    At a cut through a character, what is left of the character goes too. n_chars, if there, follows.
+    """
+    d = keyed(docs, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    cut = _cut(d, length, hot, as_text=True).withColumnRenamed("kept", "text")
+    cut = cut.filter("n_bytes = 0 or length(text) > 0")
+    other = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text", "n_chars")}
+    other |= {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return cut.select(*[other[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def _cut(d: DataFrame, length: int, hot: int, as_text: bool = False) -> DataFrame:
+    """keyed() documents with n_bytes, spans and kept bytes, or as_text the whole characters among them."""
     spans = recurring_spans(d, Bytes(length), _kernel(length), lambda n, lo, hi: n > 1, hot)
+    found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "rest", "spans")
+    more = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    schema = T.StructType([d.schema["doc_id"], d.schema["rest"], *more])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             sizes, gone, kept = [], [], []
-            for text, th, found in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for text, th, found in zip(texts, b.column(2).to_pylist(), b.column(4).to_pylist()):
                 cuts = merged([(s["lo"], s["hi"]) for s in found or [] if s["th"] == th], length)
                 edges = [0, *(x for c in cuts for x in c), len(text)]
                 kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])))
                 gone.append([{"start": s, "end": e} for s, e in cuts])
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], schema.names)
 
-    return d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "spans").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return found.mapInArrow(finish, schema)

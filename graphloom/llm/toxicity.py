@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, ship
 
@@ -169,24 +170,19 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, other_rows
     return fit([(r["text"], r["y"]) for r in rows], totals)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted behind all its columns; null texts count as empty."""
+def score(docs: DataFrame, model: Model, score_column: str = "score", predicted_column: str = "predicted") -> DataFrame:
+    """docs with two more columns behind all its own; null texts count as empty."""
     ship(docs.sparkSession)
+    fields = [T.StructField(score_column, T.DoubleType()), T.StructField(predicted_column, T.IntegerType())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            at = b.schema.get_field_index("text")
-            s = [scorer.score(t.as_py() or "") for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
-                [*b.schema.names, "score", "predicted"],
-            )
+            s = [scorer.score(t.as_py() or "") for t in b.column(b.schema.get_field_index("text"))]
+            more = [pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, score_column, predicted_column])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
