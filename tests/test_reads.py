@@ -1,5 +1,8 @@
 """Golden rows of reads over small graphs."""
 
+import contextlib
+import io
+
 import pytest
 
 from graphloom.engine import Engine
@@ -36,6 +39,13 @@ def tck(spark):
     return Engine(from_rows(spark, v, r))
 
 
+def formatted(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def got(engine, text, **params):
     return [tuple(r) for r in engine.read(text, params).collect()]
 
@@ -220,7 +230,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     from graphloom.sources.graph import load
 
     e = Engine(load(spark, str(tmp_path), 0))
-    plan = e.read("MATCH (u:User) WHERE u.name STARTS WITH 'n1' AND u.age > 0 RETURN u.age AS age")._jdf.queryExecution().executedPlan().toString()
+    plan = formatted(e.read("MATCH (u:User) WHERE u.name STARTS WITH 'n1' AND u.age > 0 RETURN u.age AS age"))
     assert "StringStartsWith(p_name,n1)" in plan and "GreaterThan(p_age,0)" in plan and "p_junk" not in plan
-    top = e.read("MATCH (u:User) WHERE u.name STARTS WITH 'n' RETURN u.name AS n ORDER BY n LIMIT 2")._jdf.queryExecution().executedPlan().toString()
+    top = formatted(e.read("MATCH (u:User) WHERE u.name STARTS WITH 'n' RETURN u.name AS n ORDER BY n LIMIT 2"))
     assert "TakeOrderedAndProject" in top
