@@ -193,13 +193,17 @@ def _raw(column: pa.Array) -> list[bytes | None]:
 
 
 def keyed(docs: DataFrame, key: Column) -> DataFrame:
-    """The one exchange of texts: doc_id, text, the key that places it, a second hash of the text, all other columns."""
+    """The one exchange of texts: doc_id, text, the key that places it, a second hash of the text, all other columns as `rest`.
+
+    Every reading of it takes all of its columns; a constant among them would be folded away in some
+    and so make two exchanges of one.
+    """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     d = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("int").alias("rest")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*rest).alias("rest")] if rest else [])
     )
-    d = d.select("doc_id", "text", key.alias("key"), F.xxhash64(F.lit(1), "text").alias("th"), "rest")
-    return d.repartition(partitions(docs.sparkSession), "key")
+    d = d.withColumns({"key": key, "th": F.xxhash64(F.lit(1), "text")})
+    return d.select("doc_id", "text", "key", "th", *(["rest"] if rest else [])).repartition(partitions(docs.sparkSession), "key")
 
 
 def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int) -> DataFrame:
@@ -269,7 +273,7 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
 
     def texts(hot: bool) -> DataFrame:
         some = hits.filter(F.exists("gs", lambda x: x["hot"] == F.lit(hot)))
-        return docs.join(some.hint("shuffle_hash"), "key").select("doc_id", "text", "key", "th", "rest", "gs", "ids")
+        return docs.join(some.hint("shuffle_hash"), "key").select(*docs.columns, "gs", "ids")
 
     # all regions of a gram in one place: at most `hot` of them
     regions = texts(False).mapInArrow(cut, REGIONS).repartition(n, "route").sortWithinPartitions("route", "rh")

@@ -205,22 +205,23 @@ def without_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> Da
 
 def _cut(d: DataFrame, length: int, hot: int, as_text: bool = False) -> DataFrame:
     """keyed() documents with n_bytes, spans and kept bytes, or as_text the whole characters among them."""
+    rest = ["rest"] if "rest" in d.columns else []
     spans = recurring_spans(d, Bytes(length), _kernel(length), lambda n, lo, hi: n > 1, hot)
-    found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "rest", "spans")
+    found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "spans", *rest)
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
-    schema = T.StructType([d.schema["doc_id"], d.schema["rest"], *more])
+    schema = T.StructType([*(d.schema[c] for c in ("doc_id", *rest)), *more])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             sizes, gone, kept = [], [], []
-            for text, th, found in zip(texts, b.column(2).to_pylist(), b.column(4).to_pylist()):
+            for text, th, found in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
                 cuts = merged([(s["lo"], s["hi"]) for s in found or [] if s["th"] == th], length)
                 edges = [0, *(x for c in cuts for x in c), len(text)]
                 kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])))
                 gone.append([{"start": s, "end": e} for s, e in cuts])
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], schema.names)
 
     return found.mapInArrow(finish, schema)
