@@ -96,7 +96,13 @@ def _props_frame(g: Graph, ident: dict[str, int | str], props: dict[str, object]
 
 
 def _same(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) if c in df.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+    def column(c: str) -> Column:
+        want = like.schema[c].dataType.simpleString()  # without nullability, which a union adjusts
+        if c not in df.columns:
+            return F.lit(None).cast(want).alias(c)
+        return F.col(c) if df.schema[c].dataType.simpleString() == want else F.col(c).cast(want).alias(c)
+
+    return df.select(*[column(c) for c in like.columns])
 
 
 def append_relationships(g: Graph, new: DataFrame) -> Graph:
