@@ -107,7 +107,7 @@ def remove_phrases(docs: DataFrame, length: int = 13, hot: int = 20_000) -> Data
     gives no rows. Grams with more than `hot` occurrences are decided by counting their windows.
     """
     d = keyed(documents(docs), F.coalesce("doc_id", F.xxhash64("text")))
-    spans = recurring_spans(d, Words(length), _kernel(length), lambda n, lo, hi: lo < hi, hot)
+    spans = recurring_spans(d, Words(length), _kernel(length), lambda n, lo, hi: lo < hi, hot, by_document=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

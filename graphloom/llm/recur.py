@@ -34,8 +34,8 @@ def _schema(**fields: str) -> T.StructType:
     return T.StructType([T.StructField(k, types[v.strip("!")], not v.endswith("!")) for k, v in fields.items()])
 
 
-GRAMS = _schema(g="long!", key="long!", doc_id="long")
-REGIONS = _schema(key="long!", th="long!", doc_id="long", route="long!", rh="long!", a="int!", at="int!", region="binary!")
+GRAMS = _schema(g="long!", key="long!", n="long!")
+REGIONS = _schema(key="long!", th="long!", doc_id="long", route="long!", a="int!", at="int!", region="binary!")
 WINDOWS = _schema(key="long!", th="long!", doc_id="long", h1="long!", h2="long!", a="int!")
 SPANS = _schema(key="long!", th="long!", lo="int!", hi="int!", first="long")
 
@@ -206,11 +206,17 @@ def keyed(docs: DataFrame, key: Column) -> DataFrame:
     return d.select("doc_id", "text", "key", "th", *(["rest"] if rest else [])).repartition(partitions(docs.sparkSession), "key")
 
 
-def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int) -> DataFrame:
+def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int, by_document: bool) -> DataFrame:
     """(key, spans): for texts with recurring windows, all of (th, first window, last window, least doc_id).
 
-    docs: from keyed(). recurs(count, least doc_id, largest doc_id) says whether what occurs so often
-    in these documents recurs. kernel(batches of REGIONS sorted by route and region) gives SPANS.
+    docs: from keyed(). recurs(count, least, largest) says whether what occurs so often, in documents
+    from the least to the largest doc_id (of grams: key), recurs. kernel(batches of REGIONS sorted by
+    route and region) gives SPANS.
+    by_document: the key is the doc_id, recurring means in two documents, and rows without a doc_id
+    take no part. Grams are then shuffled once, for their counting and their join, so rows of a very
+    frequent gram meet in one task, which counts them in a stream. Without it, places are counted,
+    combined before their shuffle, and adaptive execution can split the join, at the price of a
+    second reading and a second, smaller shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -219,17 +225,25 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, ids = b.column(2).to_numpy(zero_copy_only=False), b.column(0)
-            out = [(i, g) for i, _, _, _, g in runs_of(kind, _raw(b.column(1)))]
+            out = [(i, *np.unique(g.view(np.int64), return_counts=True)) for i, _, _, _, g in runs_of(kind, _raw(b.column(1)))]
+            if by_document:
+                known = ids.is_valid()
+                out = [x for x in out if known[x[0]].as_py()]
             if out:
-                rows = np.repeat([i for i, _ in out], [len(g) for _, g in out])
-                g = np.concatenate([g for _, g in out]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(keys[rows]), ids.take(pa.array(rows))], GRAMS.names)
-
-    # both uses of `seen` need all its columns, so its exchange is one
-    seen = docs.mapInArrow(read, GRAMS).repartition(n, "g")
-    often = seen.groupBy("g").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("key").alias("k"), F.count("doc_id").alias("ids"))
-    often = often.filter(recurs(F.col("n"), F.col("lo"), F.col("hi")) & F.col("k").isNotNull() & (F.col("ids") >= 0)).select("g", (F.col("n") > hot).alias("hot"))
-    hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot")).alias("gs"), F.count("doc_id").alias("ids"))
+                rows = np.repeat([i for i, _, _ in out], [len(g) for _, g, _ in out])
+                columns = [np.concatenate([g for _, g, _ in out]), keys[rows]]
+                if not by_document:
+                    columns.append(np.concatenate([n for _, _, n in out]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], grams_of.names)
+
+    grams_of = T.StructType(GRAMS.fields[:2]) if by_document else GRAMS
+    seen = docs.mapInArrow(read, grams_of)
+    count = F.count("*") if by_document else F.sum("n")  # of documents, or of places
+    if by_document:
+        seen = seen.repartition(n, "g")  # both uses take both columns, so that the exchange is one
+    often = seen.groupBy("g").agg(count.alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    often = often.filter(recurs(F.col("n"), F.col("lo"), F.col("hi"))).select("g", (F.col("n") > hot).alias("hot"))
+    hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot")).alias("gs"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:
         """(key, th, doc_id, units, first windows, last windows, anchors, grams) of texts, for their wanted grams."""
@@ -250,7 +264,7 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
         for key, th, doc, units, *found in wanted(batches, False):
             for lo, hi, at, gram in zip(*found):
                 region = kind.join(units[lo : hi + kind.length])
-                out.append((key, th, doc, gram, signed64(xxhash.xxh64_intdigest(region)), lo, at - lo, region))
+                out.append((key, th, doc, gram, lo, at - lo, region))
                 held += len(region)
                 if held > 8 << 20:
                     yield batch(out, REGIONS)
@@ -273,10 +287,10 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
 
     def texts(hot: bool) -> DataFrame:
         some = hits.filter(F.exists("gs", lambda x: x["hot"] == F.lit(hot)))
-        return docs.join(some.hint("shuffle_hash"), "key").select(*docs.columns, "gs", "ids")
+        return docs.join(some.hint("shuffle_hash"), "key").select(*docs.columns, "gs")
 
     # all regions of a gram in one place: at most `hot` of them
-    regions = texts(False).mapInArrow(cut, REGIONS).repartition(n, "route").sortWithinPartitions("route", "rh")
+    regions = texts(False).mapInArrow(cut, REGIONS).repartition(n, "route").sortWithinPartitions("route", "region")
     cold = regions.mapInArrow(kernel, SPANS)
     windows = texts(True).mapInArrow(every, WINDOWS)
     common = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -306,16 +320,15 @@ class Region:
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Region]]:
     """The distinct regions of each route; rows come sorted by route and region."""
-    route, held, last = None, [], None
+    route, held = None, []
     for b in batches:
-        for key, th, doc, r, rh, a, at, region in zip(*(c.to_pylist() for c in b.columns)):
+        for key, th, doc, r, a, at, region in zip(*(c.to_pylist() for c in b.columns)):
             if r != route:
                 if held:
                     yield held
-                route, held, last = r, [], None
-            if last != rh or held[-1].text != region:
+                route, held = r, []
+            if not held or held[-1].text != region:
                 held.append(Region(region, at))
-                last = rh
             held[-1].places.append((key, th, doc, a))
     if held:
         yield held

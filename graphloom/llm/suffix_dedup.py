@@ -206,7 +206,7 @@ def without_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> Da
 def _cut(d: DataFrame, length: int, hot: int, as_text: bool = False) -> DataFrame:
     """keyed() documents with n_bytes, spans and kept bytes, or as_text the whole characters among them."""
     rest = ["rest"] if "rest" in d.columns else []
-    spans = recurring_spans(d, Bytes(length), _kernel(length), lambda n, lo, hi: n > 1, hot)
+    spans = recurring_spans(d, Bytes(length), _kernel(length), lambda n, lo, hi: n > 1, hot, by_document=False)
     found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "spans", *rest)
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType([*(d.schema[c] for c in ("doc_id", *rest)), *more])
