@@ -1,16 +1,19 @@
-"""Helpers shared by the corpus operators: input tables, code shipping, shared scratch tables, components."""
+"""Helpers shared by the corpus operators: input tables, code shipping, components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import drop_written, scratch_dir, written
+
+__all__ = ["connected_components", "documents", "drop_written", "partitions", "scratch_dir", "ship", "table", "written"]
+
 _SHIPPED = "graphloom.llm.shipped"
 
 
@@ -32,32 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table made by written(), once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
