@@ -178,7 +178,7 @@ MATCHES = "doc_id long, item_id long, n_segments int, first_char long, end_char
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int = 100, step: int = 50, shard_chars: int = 4_000_000
+    docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int = 80, step: int = 40, shard_chars: int = 4_000_000
 ) -> DataFrame:
     """One row per row of docs and item of which it holds a passage.
 
@@ -232,7 +232,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, size: int,
     return docs.mapInArrow(work, MATCHES)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int = 100, step: int = 50, shard_chars: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int = 80, step: int = 40, shard_chars: int = 4_000_000) -> DataFrame:
     """docs, all columns as they are, without the rows that hold a passage of an item (see contaminated)."""
     ship(docs.sparkSession)
     for items in _shards(benchmark, shard_chars):
