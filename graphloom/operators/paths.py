@@ -176,7 +176,7 @@ def distance_to(adj: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
         frontier = written(frontier, "distance")
         if frontier.isEmpty():
             break
-        seen = written(seen.unionAll(frontier), "distances")
+        seen = seen.unionAll(frontier)  # a union of written tables
     return seen
 
 
@@ -225,7 +225,7 @@ def enumerate_paths(g: Graph, s: PathSpec) -> DataFrame:
                 if have and (s.path_count == 0 or have >= s.path_count):
                     break
         if shortest:
-            reached = written(reached.unionAll(grown.select("source", "last").distinct()), "reached")
+            reached = reached.unionAll(grown.select("source", "last"))  # tables written above
         paths = grown.drop("last")
     if found is None:
         return spark.createDataFrame([], f"source long, target long, nodes array<bigint>, steps array<{STEP}>")

@@ -49,5 +49,5 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
         frontier = written(frontier.join(adj, "v").select(F.col("next").alias("v")).distinct().join(seen, "v", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = written(seen.unionAll(frontier), "seen")
+        seen = seen.unionAll(frontier)  # a union of written tables
     return seen.join(first, "v", "left_anti")

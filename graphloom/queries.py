@@ -12,7 +12,7 @@ from graphloom.functions import stats
 from graphloom.operators import points
 from graphloom.operators.legs import inner_join, union_all
 from graphloom.operators.reach import bfs
-from graphloom.sources.graph import OFFSETS, from_rows, from_tables
+from graphloom.sources.graph import OFFSETS, Graph, from_rows, from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,11 +21,22 @@ ORACLE_SQL: dict[str, str] = {}
 R, N, C, S, P, O, U = (OFFSETS[k] for k in ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "User"))  # noqa: E741
 
 
+_VIEWS: dict[tuple[str, str], Graph] = {}
+
+
+def view(spark: SparkSession, sf_dir: str) -> Graph:
+    """The table view of a folder: its plan is analysed once per application, its data are not kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VIEWS:
+        _VIEWS[key] = from_tables(spark, sf_dir)
+    return _VIEWS[key]
+
+
 def text(name: str, statement: str, sql: str | None = None, **params: object) -> None:
     """Register a statement over the table view."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(from_tables(spark, sf_dir)).read(statement, params)
+        return Engine(view(spark, sf_dir)).read(statement, params)
 
     QUERIES[name] = run
     if sql is not None:
@@ -123,59 +134,59 @@ text(
 
 @query("bfs_3", f"WITH {HOPS} SELECT v FROM (SELECT b AS v FROM h1 UNION SELECT b FROM h2 UNION SELECT b FROM h3) WHERE v <> {S}")
 def bfs_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = from_tables(spark, sf_dir)
+    g = view(spark, sf_dir)
     return bfs(g.adjacency("TRADES"), spark.range(1).select(F.lit(S).cast("long").alias("id")), 3)
 
 
 @query("collect_ids", "SELECT r_name AS r, list_sort(list(n_name)) AS ns FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def collect_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = Engine(from_tables(spark, sf_dir)).read("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS r, collect(n.name) AS ns")
+    df = Engine(view(spark, sf_dir)).read("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS r, collect(n.name) AS ns")
     return df.select("r", F.sort_array("ns").alias("ns"))
 
 
 @query("out_neighbors_batch", f"SELECT k AS id, coalesce((SELECT list_sort(list(DISTINCT {O} + o_orderkey)) FROM orders WHERE {C} + o_custkey = k), []) AS neighbors FROM (SELECT {C} + range AS k FROM range(40))")
 def out_neighbors_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.out_neighbors_batch(from_tables(spark, sf_dir), "PLACED", spark.range(C, C + 40))
+    return points.out_neighbors_batch(view(spark, sf_dir), "PLACED", spark.range(C, C + 40))
 
 
 @query("in_neighbors_batch", f"SELECT k AS id, coalesce((SELECT list_sort(list(DISTINCT {C} + c_custkey)) FROM customer WHERE {N} + c_nationkey = k), []) AS neighbors FROM (SELECT {N} + range AS k FROM range(30))")
 def in_neighbors_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.in_neighbors_batch(from_tables(spark, sf_dir), "LIVES_IN", spark.range(N, N + 30))
+    return points.in_neighbors_batch(view(spark, sf_dir), "LIVES_IN", spark.range(N, N + 30))
 
 
 @query("edge_exists_batch", f"""SELECT a.range + {S} AS src, b.range + {P} AS dst, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = a.range AND l_partkey = b.range) AS "exists" FROM range(10) a, range(50) b""")
 def edge_exists_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.range(500).select((F.expr("id div 50") + S).alias("src"), (F.expr("id % 50") + P).alias("dst"))
-    return points.edge_exists_batch(from_tables(spark, sf_dir), "SUPPLIES", pairs)
+    return points.edge_exists_batch(view(spark, sf_dir), "SUPPLIES", pairs)
 
 
 @query("unwind_out_neighbors", f'SELECT DISTINCT {S} + l_suppkey AS "row.x", {P} + l_partkey AS "b.id" FROM lineitem WHERE l_suppkey IN (1, 3, 5)')
 def unwind_out_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [{"x": S + i} for i in (1, 3, 5)]
-    return Engine(from_tables(spark, sf_dir)).read("UNWIND $rows AS row MATCH (a {id: row.x})-[:SUPPLIES]->(b) RETURN row.x, b.id", {"rows": rows})
+    return Engine(view(spark, sf_dir)).read("UNWIND $rows AS row MATCH (a {id: row.x})-[:SUPPLIES]->(b) RETURN row.x, b.id", {"rows": rows})
 
 
 @query("degree", "SELECT l_suppkey + %d AS id, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY 1" % S)
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.degrees(from_tables(spark, sf_dir), "SUPPLIES")
+    return points.degrees(view(spark, sf_dir), "SUPPLIES")
 
 
 @query("legs_union_all", "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def legs_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(from_tables(spark, sf_dir))
+    e = Engine(view(spark, sf_dir))
     return union_all({v: e.read(f"MATCH (x:{v}) RETURN x.key AS k, x.name AS name") for v in ("Customer", "Supplier")})
 
 
 @query("legs_inner_join", f'SELECT c_custkey AS "c.k", {N} + c_nationkey AS "c.n", s_suppkey AS "s.k", {N} + s_nationkey AS "s.n" FROM customer JOIN supplier ON c_nationkey = s_nationkey')
 def legs_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(from_tables(spark, sf_dir))
+    e = Engine(view(spark, sf_dir))
     legs = {"c": e.read("MATCH (x:Customer)-[:LIVES_IN]->(n) RETURN x.key AS k, n.id AS n"), "s": e.read("MATCH (x:Supplier)-[:BASED_IN]->(n) RETURN x.key AS k, n.id AS n")}
     return inner_join(legs, "c", "n", "s", "n")
 
 
 @query("stats_histogram", "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1")
 def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.vertex_histogram(from_tables(spark, sf_dir), "priority", "Order")
+    return stats.vertex_histogram(view(spark, sf_dir), "priority", "Order")
 
 
 @query(
@@ -186,12 +197,12 @@ SELECT 'TRADES', 2 * count(DISTINCT (l_suppkey, l_partkey)), 2 * count(DISTINCT
 SELECT 'BASED_IN', count(*), count(*) FROM supplier UNION ALL SELECT 'IN_REGION', count(*), count(*) FROM nation""",
 )
 def stats_edge_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.edge_type_counts(from_tables(spark, sf_dir))
+    return stats.edge_type_counts(view(spark, sf_dir))
 
 
 @query("stats_labels", "SELECT 'Customer' AS label, count(*) AS vertices FROM customer UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events")
 def stats_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.label_counts(from_tables(spark, sf_dir))
+    return stats.label_counts(view(spark, sf_dir))
 
 
 # writes on the table view: the result is a read of the new snapshot
@@ -199,7 +210,7 @@ def stats_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def after(name: str, statement: str, read: str, sql: str | None = None, **params: object) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = Engine(from_tables(spark, sf_dir))
+        e = Engine(view(spark, sf_dir))
         e.write(statement, params)
         return e.read(read)
 
@@ -238,7 +249,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def paths(name: str, call: str, config: str, sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: flat(Engine(from_tables(spark, sf_dir)).read(PATHS.format(call, config)))
+    QUERIES[name] = lambda spark, sf_dir: flat(Engine(view(spark, sf_dir)).read(PATHS.format(call, config)))
     if sql is not None:
         ORACLE_SQL[name] = sql
 
