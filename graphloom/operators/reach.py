@@ -21,7 +21,7 @@ def reach(adjacency: DataFrame, starts: DataFrame, low: int, high: int) -> DataF
     parts = [frontier] if low == 0 else []
     adj = adjacency.select(F.col("src").alias("v"), F.col("dst").alias("next"))
     eager = high > LAZY_HOPS
-    if eager:
+    if high > 2:  # read at every hop
         adj = written(adj, "adjacency")
     for hop in range(1, high + 1):
         frontier = frontier.join(adj, "v").select("origin", F.col("next").alias("v")).distinct()
