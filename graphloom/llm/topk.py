@@ -26,13 +26,17 @@ class Shard:
     """Impact-ordered postings of a shard's distinct rows."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, k: int, levels: int = 6):
-        # of equal rows only the k + 1 smallest ids can be among k results of any query
+        # of equal rows only the k + 1 smallest distinct ids (one may be the query's own), and of one
+        # id only k copies, can be among k results of any query
         order = np.lexsort((ids, *values.T)) if len(ids) else np.array([], int)
         ids, values = ids[order], values[order]
         new = np.ones(len(ids), bool)
         new[1:] = (values[1:] != values[:-1]).any(1)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-        keep = np.arange(len(ids)) - first <= k
+        fresh = new.copy()
+        fresh[1:] |= ids[1:] != ids[:-1]
+        at, nth = np.arange(len(ids)), np.cumsum(fresh)
+        copy = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        keep = (nth - np.maximum.accumulate(np.where(new, nth, 0)) <= k) & (copy < k)
         self.ids, self.values = ids[keep], values[keep].astype(np.float64)
         size = np.abs(self.values)
         top = size.max(initial=0)
@@ -45,7 +49,7 @@ class Shard:
             self.segments.append((part, np.sqrt((left * left).sum(1))))
 
     def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of a superset of each query's k best rows of this shard, itself left out."""
+        """(query id, ids, scores) of a superset of each query's k best rows of this shard, rows of its own id left out."""
         q = queries.astype(np.float64)
         norms = np.sqrt((q * q).sum(1))
         n = len(self.ids)
@@ -59,10 +63,11 @@ class Shard:
             done = []
             for j in open_:
                 gain = norms[j] * rest * (1 + 1e-12) + 1e-6
-                low = acc[j] - gain
-                # k + 1: the query itself may be one of them
-                floor = np.partition(low, n - k - 1)[n - k - 1] if n > k + 1 else -math.inf
-                possible = np.flatnonzero(acc[j] + gain >= floor)
+                # rows of the query's own id are no results, so their bounds prove nothing
+                other = self.ids != q_ids[j]
+                low = np.where(other, acc[j] - gain, -math.inf)
+                floor = np.partition(low, n - k)[n - k] if n > k else -math.inf
+                possible = np.flatnonzero(other & (acc[j] + gain >= floor))
                 if final or len(possible) <= max(few, 2 * k):
                     scores = np.rint(self.values[possible] @ q[j]).astype(np.int64)
                     yield int(q_ids[j]), self.ids[possible], scores
@@ -90,8 +95,6 @@ def _group(k: int, block: int):
             q_ids, q = queries["vec_id"].to_numpy(np.int64), matrix(queries["v"])
             for s in range(0, len(q), block):
                 for query, ids, scores in shard.search(q_ids[s : s + block], q[s : s + block], k):
-                    other = ids != query
-                    ids, scores = ids[other], scores[other]
                     best = top_of(ids, scores, k)
                     out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")

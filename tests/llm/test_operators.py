@@ -128,6 +128,25 @@ def test_top_k(spark):
         topk.top_k(spark.createDataFrame([(0, [1e300], 1)], df.schema), F.col("vec_id") % 50 == 0).collect()
 
 
+def test_top_k_of_repeated_ids(spark):
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 0.2) for _ in range(8)]) for i in range(300)]
+    rows += [(q, rows[q][1]) for q, copies in ((0, 5), (50, 9), (100, 1), (150, 40)) for _ in range(copies)]  # queries
+    rows += [(i, rows[50][1]) for i in (7, 7, 7, 301, 302, 303, 304, 305, 306)] + [(11, rows[11][1])] * 8  # others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_top(rows, 5)
+    assert Counter(q for q, *_ in want) == {q: 5 for q in range(0, 300, 50)}
+    for shard in (10_000, 50):
+        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard).collect()} == want
+    # a proof before the last segment: own copies must not lift the floor
+    ids, values = np.array([0] * 8 + list(range(1, 4000))), np.random.default_rng(1).integers(-99, 99, (4007, 16))
+    values[:8] = values[0]
+    (_, got, scores), = topk.Shard(ids, values, 5).search(np.array([0]), values[:1], 5, few=5)
+    best = topk.top_of(got, scores, 5)
+    exact = values[8:] @ values[0]
+    assert scores[best].tolist() == sorted(exact.tolist())[:-6:-1]
+
+
 # decontamination
 
 
