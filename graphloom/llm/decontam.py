@@ -1,14 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping segments, each with an edit budget. Text within the budget
-of a segment shares at least (length - q + 1 - budget * q) of its q-grams, on diagonals that differ
-by the budget at most. Shared q-grams are counted in overlapping diagonal bands; bands that reach
-the bound are verified by banded alignment.
+Every window of a benchmark item, beginning at each of its units, has an edit budget. Units are
+characters and, in a second pass, words. Text within the budget of a window shares at least
+(length - q + 1 - budget * q) of its q-grams, on diagonals that differ by the budget at most. Shared
+q-grams are counted in overlapping diagonal bands; windows of an item that reach the bound in a band
+are verified together by banded alignment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from .common import documents, ship
 from .recur import BASE, U, mix
 
 Q = 10
+WORDS, WORD_Q = 13, 3  # words of a window, and of a gram
+NONE = 0xFFFFFFFF  # no unit of any item
 BITS = 20
 CHUNK = 1 << 19
 
@@ -31,15 +35,15 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
-    """Hash of each Q characters in a row, put together from runs of 1, 2, 4, 8 ... characters."""
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of each q units in a row, put together from runs of 1, 2, 4, 8 ... units."""
     h, m = mix((chars.astype(np.uint64) + U(1)) * U(BASE)), 1
     whole, done = None, 0
-    while m <= Q:
-        if Q & m:
+    while m <= q:
+        if q & m:
             whole = h if whole is None else whole[: len(h) - done] * U(pow(BASE, m, 1 << 64)) + h[done:]
             done += m
-        if 2 * m <= Q:
+        if 2 * m <= q:
             h = h[:-m] * U(pow(BASE, m, 1 << 64)) + h[m:]
         m *= 2
     return mix(whole)
@@ -50,6 +54,22 @@ def budget(n: int, rate: float) -> int:
     return max(0, min(int(n * rate), (n - Q) // Q))
 
 
+def word_budget(n: int) -> int:
+    """Words of n that may be replaced, put in or left out: one in six, none of fewer than eight."""
+    return n // 6 if n >= 8 else 0
+
+
+def windows(n: int, rate: float, size: int, step: int) -> list[tuple[int, int]]:
+    """(length, budget) of the windows of an item of n characters: `size` of them, and all of a short item."""
+    return [(m, budget(m, rate)) for m in sorted({min(n, size), n if n <= size + step else size})]
+
+
+def word_windows(n: int) -> list[tuple[int, int]]:
+    """(length, budget) of the windows of an item of n words; those without a budget are left to the characters."""
+    m = min(n, WORDS)
+    return [(m, word_budget(m))] if word_budget(m) else []
+
+
 def segments(text: str, size: int, step: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= size + step:
@@ -76,27 +96,42 @@ def banded_distance(segment: np.ndarray, text: np.ndarray, most: int) -> tuple[i
     return int(row[end]), end
 
 
+def window_distances(item: np.ndarray, starts: np.ndarray, length: int, text: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each window item[start : start + length] and any piece of text, and where that piece ends.
+
+    Alignments stay on `width` diagonals (place in the text less place in the item) from `low`.
+    """
+    base = int(starts[0]) + low
+    local = np.full(int(starts[-1] - starts[0]) + length + width, NONE, np.uint32)
+    a, b = max(base, 0), min(base + len(local), len(text))
+    if a < b:
+        local[a - base : b - base] = text[a:b]
+    bands = np.lib.stride_tricks.sliding_window_view(local, width)
+    at = starts - starts[0]
+    steps = np.arange(width, dtype=np.int32)
+    cost = np.zeros((len(starts), width), np.int32)
+    for i in range(length):
+        new = cost + (bands[at + i] != item[starts + i, None])
+        np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
+        cost = np.minimum.accumulate(new - steps, axis=1) + steps
+    end = cost.argmin(1)
+    return cost[np.arange(len(starts)), end], np.clip(starts + length + low + end, 1, max(1, len(text)))
+
+
 class Index:
-    """q-gram postings of all segments of some items."""
+    """q-gram postings of some items, each a row of units, under one or more kinds of window."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, size: int, step: int):
-        self.segments: list[tuple[int, int, np.ndarray, int, int]] = []  # item, offset in it, characters, budget, bound
-        self.short: list[tuple[int, str]] = []  # too short for a q-gram: looked up as they are
+    def __init__(self, items: list[tuple[int, np.ndarray, list[tuple[int, int]]]], q: int):
+        self.q = q
+        self.kinds: list[tuple[int, np.ndarray, int, int]] = []  # item, its units, length and budget of its windows
         keys, owners, places = [], [], []
-        for item, text in items:
-            norm = normalised(text)
-            if len(norm) < Q:
-                if norm:
-                    self.short.append((item, norm))
-                continue
-            chars = codes(norm)
-            for s, e in segments(norm, size, step):
-                k = budget(e - s, rate)
-                g = grams(chars[s:e])
-                owners.append(np.full(len(g), len(self.segments)))
-                places.append(np.arange(len(g)))
+        for item, units, lengths in items:
+            for length, k in lengths:
+                g = grams(units, q)
                 keys.append(g)
-                self.segments.append((item, s, chars[s:e], k, e - s - Q + 1 - k * Q))
+                owners.append(np.full(len(g), len(self.kinds)))
+                places.append(np.arange(len(g)))
+                self.kinds.append((item, units, length, k))
         flat = np.concatenate(keys) if keys else np.array([], np.uint64)
         order = np.argsort(flat, kind="stable")
         self.keys = flat[order]
@@ -104,35 +139,36 @@ class Index:
         self.place = np.concatenate(places)[order] if keys else np.array([], np.int64)
         self.known = np.zeros(1 << BITS, bool)
         self.known[(self.keys >> U(64 - BITS)).astype(np.int64)] = True
-        self.bound = np.array([s[4] for s in self.segments], np.int64)
-        self.slack = np.array([s[3] for s in self.segments], np.int64) + 1
-        # windows that must hold so many hits, for segments of like size
-        kinds: dict[int, tuple[int, int]] = {}
-        for _, _, chars, k, bound in self.segments:
-            c = len(chars) // 32
-            w, b = kinds.get(c, (0, bound))
-            kinds[c] = (max(w, len(chars) + k), min(b, bound))
-        self.kinds = list(kinds.values())
+        length, k = (np.array([x[i] for x in self.kinds], np.int64) for i in (2, 3))
+        self.span = length - q  # the last place of a gram less the first
+        self.bound = length - q + 1 - k * q
+        self.slack = k + 1
+        # stretches of text that must hold so many hits, for windows of like size
+        sizes: dict[int, tuple[int, int]] = {}
+        for n, e, bound in zip(length.tolist(), k.tolist(), self.bound.tolist()):
+            w, b = sizes.get(n // 32, (0, bound))
+            sizes[n // 32] = (max(w, n + e), min(b, bound))
+        self.sizes = list(sizes.values())
 
     def dense(self, at: np.ndarray) -> np.ndarray:
-        """Which hits lie in some window that holds as many hits as a segment needs."""
+        """Which hits lie in some stretch of text that holds as many hits as a window needs."""
         keep = np.zeros(len(at) + 1, np.int64)
-        for width, bound in self.kinds:
+        for width, bound in self.sizes:
             count = np.searchsorted(at, at + width) - np.arange(len(at))
             start = np.flatnonzero(count >= bound)
             np.add.at(keep, start, 1)
             np.add.at(keep, start + count[start], -1)
         return np.cumsum(keep[:-1]) > 0
 
-    def find(self, chars: np.ndarray, text_of: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
-        """(text, item) to matches (offset in item, first and end character, edits).
+    def find(self, units: np.ndarray, text_of: np.ndarray) -> dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]]:
+        """(text, item) to the windows found, (length, place in item) to (edits, end in the text).
 
-        chars: texts one after another, with a gap behind each; text_of: where each begins.
+        units: texts one after another, with a gap of q units behind each; text_of: where each begins.
         """
-        found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-        if len(chars) < Q or not len(self.keys):
+        found: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]] = {}
+        if len(units) < self.q or not len(self.keys):
             return found
-        h = grams(chars)
+        h = grams(units, self.q)
         at = np.flatnonzero(self.known[(h >> U(64 - BITS)).astype(np.int64)])
         at = at[self.dense(at)]
         lo, hi = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], "right")
@@ -143,37 +179,86 @@ class Index:
         if not len(at):
             return found
         posting = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        owner = self.owner[posting]
-        diagonal = np.repeat(at, n) - self.place[posting] + (1 << 20)
-        band = diagonal // self.slack[owner]
-        key = (owner << 40) | band
-        key = np.concatenate([key, key - 1])  # each hit counts in both bands over it
-        key, count = np.unique(key, return_counts=True)
-        owner, band = key >> 40, key & ((1 << 40) - 1)
-        seen: set[tuple[int, int]] = set()
-        for s, b in zip(*(x[count >= self.bound[owner]].tolist() for x in (owner, band))):
-            item, offset, segment, k, _ = self.segments[s]
-            raw = segment.tobytes()
-            begin = b * (k + 1) - (1 << 20)  # the band's diagonals: begin to begin + 2k + 1
-            first = max(0, begin - k)
-            text = int(np.searchsorted(text_of, max(first, begin + k), "right")) - 1
-            start = int(text_of[text])
-            limit = int(text_of[text + 1]) if text + 1 < len(text_of) else len(chars)
-            first = max(first, start)
-            piece = chars[first : min(limit, begin + 3 * k + 2 + len(segment))]
-            if (text, s) in seen:
+        owner, place = self.owner[posting], self.place[posting]
+        at = np.repeat(at, n)
+        text = np.searchsorted(text_of, at, "right") - 1
+        slack = self.slack[owner]
+        band = (at - place) // slack
+        # each hit counts in both bands over it, each place of an item once in a band
+        rows = np.stack([np.tile(owner, 2), np.tile(text, 2), np.concatenate([band, band - 1]), np.tile(place, 2)])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        owner, text, band, place = rows = rows[:, new]
+        # a window needs `bound` hits: from each hit on, that many of the band must lie within its span
+        last = np.arange(len(owner)) + self.bound[owner] - 1
+        inside = np.minimum(last, len(owner) - 1)
+        good = (last < len(owner)) & (rows[:3] == rows[:3, inside]).all(0) & (place[inside] - place <= self.span[owner])
+        first = np.maximum(place[inside] - self.span[owner], 0)[good]
+        owner, text, band, place = rows[:, good]
+        if not len(owner):
+            return found
+        groups = np.flatnonzero(np.r_[True, (np.diff(rows[:3, good]) != 0).any(0)])
+        for a, b in zip(groups.tolist(), [*groups[1:].tolist(), len(owner)]):
+            item, whole, length, k = self.kinds[owner[a]]
+            t = int(text[a])
+            start = int(text_of[t])
+            limit = (int(text_of[t + 1]) if t + 1 < len(text_of) else len(units)) - self.q
+            mark = np.zeros(len(whole) - length + 2, np.int64)
+            np.add.at(mark, first[a:b], 1)
+            np.add.at(mark, np.minimum(place[a:b], len(whole) - length) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            if not len(starts):
                 continue
-            same = piece.tobytes().find(raw)
-            if same >= 0 and same % 4 == 0:
-                edits, end = 0, same // 4 + len(segment)
-            else:
-                edits, end = banded_distance(segment, piece, k)
-            if edits <= k:
-                seen.add((text, s))
-                found.setdefault((text, item), []).append((offset, first + end - len(segment) - start, first + end - start, edits))
+            # the band's diagonals: 2 * (k + 1) of them, and k on both sides
+            edits, end = window_distances(whole, starts, length, units[start:limit], int(band[a]) * (k + 1) - k - start, 4 * k + 2)
+            for i in np.flatnonzero(edits <= k).tolist():
+                spans = found.setdefault((t, item), {})
+                key = (length, int(starts[i]))
+                spans[key] = min((int(edits[i]), int(end[i])), spans.get(key, (k + 1, 0)))
         return found
 
 
+class Benchmark:
+    """Indexes of the characters and of the words of some items."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float, size: int, step: int):
+        self.short: list[tuple[int, str]] = []  # too short for a q-gram: looked up as they are
+        self.vocabulary: dict[str, int] = {}
+        by_char, by_word = [], []
+        for item, text in items:
+            norm = normalised(text)
+            if len(norm) < Q:
+                if norm:
+                    self.short.append((item, norm))
+                continue
+            by_char.append((item, codes(norm), windows(len(norm), rate, size, step)))
+            words = norm.split(" ")
+            if lengths := word_windows(len(words)):
+                ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+                by_word.append((item, np.array(ids, np.uint32), lengths))
+        self.chars, self.words = Index(by_char, Q), Index(by_word, WORD_Q)
+
+    def find(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """(text, item) to windows found, first and end character in the text, least edits in characters or words."""
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        starts = np.cumsum([0, *(len(t) + Q for t in texts)])[:-1]
+        gap = "\0" * Q
+        for key, spans in self.chars.find(codes(gap.join(texts) + gap), starts).items():
+            found[key] = [(max(0, end - length), end, edits) for (length, _), (edits, end) in spans.items()]
+        split = [t.split(" ") for t in texts]
+        starts = np.cumsum([0, *(len(w) + WORD_Q for w in split)])
+        units = np.zeros(starts[-1], np.uint32)
+        for a, w in zip(starts.tolist(), split):
+            units[a : a + len(w)] = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint32, len(w))
+        for (text, item), spans in self.words.find(units, starts[:-1]).items():
+            ends = np.cumsum([len(w) + 1 for w in split[text]]) - 1
+            for (length, _), (edits, end) in spans.items():
+                first = max(0, end - length)
+                found.setdefault((text, item), []).append((int(ends[first] - len(split[text][first])), int(ends[end - 1]), edits))
+        return {key: (len(s), min(x[0] for x in s), max(x[1] for x in s), min(x[2] for x in s)) for key, s in found.items()}
+
+
 MATCHES = "doc_id long, item_id long, n_segments int, first_char long, end_char long, edits int"
 
 
@@ -182,11 +267,14 @@ def contaminated(
 ) -> DataFrame:
     """One row per row of docs and item of which it holds a passage.
 
-    A passage: text within rate * length edits of a segment of the item (the whole item up to
-    size + step characters, else every `size` characters at each `step`), after lower-casing and
-    turning white space into single spaces. n_segments: segments found; first_char, end_char: where
-    in the normalised text (the start is exact but for edits); edits: of the best segment. Items
-    shorter than 10 characters are found as they stand. Null or empty items and texts match nothing.
+    A passage, after lower-casing and turning white space into single spaces: text within rate *
+    length edits of any `size` characters in a row of the item (of the whole item if that has fewer,
+    or, as well, if it has up to size + step); or text that differs from any 13 words in a row of
+    the item (from the whole item if that has 8 to 12) by at most one word in six, replaced, put in
+    or left out. n_segments: windows of the item found; first_char, end_char: where in the
+    normalised text (the start is exact but for edits); edits: of the best window, in its
+    characters or words. Items shorter than 10 characters are found as they stand. Null or empty
+    items and texts match nothing.
     Items are read in shards of at most shard_chars characters; each shard is one reading of docs.
     """
     ship(docs.sparkSession)
@@ -198,30 +286,28 @@ def contaminated(
     return out
 
 
-def _texts(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(number of the text, item_id, segments, first and end character, edits) of each match."""
+def _texts(texts: list[str | None], index: Benchmark) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(number of the text, item_id, windows, first and end character, edits) of each match."""
     at = 0
     while at < len(texts):
-        group, held, begin, starts = at, [], 0, []
-        while at < len(texts) and (at == group or begin < CHUNK):
+        group, held, total = at, [], 0
+        while at < len(texts) and (at == group or total < CHUNK):
             t = normalised(texts[at] or "")
             for item, short in index.short:
                 if (where := t.find(short)) >= 0:
                     yield at, item, 1, where, where + len(short), 0
-            starts.append(begin)
             held.append(t)
-            begin += len(t) + Q
+            total += len(t) + Q
             at += 1
-        gap = "\0" * Q
-        for (text, item), spans in index.find(codes(gap.join(held) + gap), np.array(starts)).items():
-            yield group + text, item, len({s[0] for s in spans}), max(0, min(s[1] for s in spans)), max(s[2] for s in spans), min(s[3] for s in spans)
+        for (text, item), match in index.find(held).items():
+            yield group + text, item, *match
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, size: int, step: int) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(items)  # at most shard_chars characters
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shipped.value, rate, size, step)
+        index = Benchmark(shipped.value, rate, size, step)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
             ids = b.column(0)
@@ -239,7 +325,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int =
         shipped = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            index = Index(shipped.value, rate, size, step)
+            index = Benchmark(shipped.value, rate, size, step)
             for b in batches:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 keep = np.ones(len(texts), bool)

@@ -193,6 +193,66 @@ def test_leaks(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def holds_window(item, text, length, most):
+    """Whether text holds, within `most` edits, some `length` units in a row of item; both as sequences."""
+    if len(item) < length:
+        return False
+    ids = {}
+    a, b = (np.array([ids.setdefault(u, len(ids)) for u in x], int) for x in (item, text))
+    of = np.lib.stride_tricks.sliding_window_view(a, length)
+    row, steps = np.zeros((len(of), len(b) + 1), int), np.arange(len(b) + 1)
+    for i in range(length):
+        new = row + 1
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (of[:, i, None] != b))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return bool(row.min() <= most)
+
+
+def brute_passages(rows, items):
+    """Without any of the operator's own functions: every window, against every place of every text."""
+    norm = lambda t: " ".join((t or "").lower().split())
+    out = set()
+    for d, t in rows:
+        for i, b in items:
+            x, y = norm(b), norm(t)
+            size = {min(80, len(x)), len(x) if len(x) <= 120 else 80}
+            w = min(13, len(x.split()))
+            by_word = w >= 8 and holds_window(x.split(), y.split(), w, w // 6)
+            if by_word or any(holds_window(x, y, n, min(int(n * 0.06), (n - 10) // 10)) for n in size):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_wherever_a_passage_begins(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate((40, 45, 19, 14, 9))]
+    rows, sure = [], set()
+
+    def put(i, passage, is_sure=False):
+        if is_sure:
+            sure.add((len(rows), i))
+        rows.append((len(rows), f"{prose(rnd.randint(0, 20))} {passage} {prose(rnd.randint(0, 20))}"))
+
+    for i, t in items[:4]:
+        for at in range(0, len(t) - 79, 13):
+            put(i, t[at : at + 80], len(t[at : at + 80].strip()) == 80)
+            put(i, t[at : at + 40] + rnd.choice(["", "z", "zz"]) + t[at + 41 : at + 79])
+            put(i, t[at : at + 70])
+    for i, t in items:
+        for every in (5, 8, 10, 12):
+            words = [word() if n % every == every // 2 else w for n, w in enumerate(t.split())]
+            put(i, " ".join(words), every >= 8 and i < 3)
+    want = brute_passages(rows, items)
+    assert sure <= want and len(want) < len(rows)
+    df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(0 <= r.first_char < r.end_char <= len(rows[r.doc_id][1]) and r.n_segments >= 1 for r in got)
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 # toxicity
 
 
