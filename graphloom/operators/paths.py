@@ -22,6 +22,7 @@ from graphloom.sources.graph import PREFIX, Graph
 from graphloom.storage import written
 
 DEFAULT_LIMIT = 100_000
+NO_LIMIT = 1 << 31  # a resultLimit from here on cuts nothing
 STEP = "struct<edge_type:string,src:bigint,dst:bigint>"
 _COMMON = {"relTypes", "relDirection", "maxLen", "weightProp", "costProp", "maxCost", "pathCount", "resultLimit"}
 _SINGLE = {"sourceNode", "targetNode"}
@@ -294,7 +295,8 @@ def run_paths(g: Graph, call: PathCall, max_hops: int, max_rows: int | None = No
         else:
             full = full.filter(F.col("rank") <= s.path_count)
         rank = ["source", "target", "rank"]
-    full = full.orderBy(*rank).limit(s.result_limit)
+    if s.result_limit < NO_LIMIT:
+        full = full.orderBy(*rank).limit(s.result_limit)
     if "path" in call.columns:
         full = hydrate(g, full, rank)
     out = {"path": F.col("path") if "path" in call.columns else None, "pathWeight": F.col("weight"), "pathCost": F.col("cost")}

@@ -11,6 +11,7 @@ from graphloom.engine import Engine
 from graphloom.functions import stats
 from graphloom.operators import points
 from graphloom.operators.legs import inner_join, union_all
+from graphloom.operators.paths import NO_LIMIT
 from graphloom.operators.reach import bfs
 from graphloom.sources.graph import OFFSETS, Graph, from_rows, from_tables
 
@@ -259,7 +260,7 @@ paths(
     f"SELECT [{R}::BIGINT, {N} + n_nationkey, {CUST}] AS nodes, 2.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 3 AND n_regionkey = 0",
 )
 paths(
-    "ss_paths", "SSpaths", f"sourceNode: {R + 1}, relTypes: ['IN_REGION', 'LIVES_IN'], relDirection: 'incoming', maxLen: 2",
+    "ss_paths", "SSpaths", f"sourceNode: {R + 1}, relTypes: ['IN_REGION', 'LIVES_IN'], relDirection: 'incoming', maxLen: 2, resultLimit: {NO_LIMIT}",
     f"SELECT [{R + 1}::BIGINT, {N} + n_nationkey] AS nodes, 1.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM nation WHERE n_regionkey = 1 UNION ALL SELECT [{R + 1}::BIGINT, {N} + n_nationkey, {CUST}], 2.0, 0.0 FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
 )
 paths(

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from graphloom.operators import paths
 from graphloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,12 @@ def test_fair_variants(spark):
     assert [(r.nodes[0], r.nodes[-1]) for r in rows] == [(1, 2), (2, 3), (1, 2)]
 
 
+def test_ss_paths_gives_all_rows_beyond_the_default_limit(spark, db, monkeypatch):
+    monkeypatch.setattr(paths, "DEFAULT_LIMIT", 2)
+    n = db.execute(f"SELECT count(*) FROM ({ORACLE_SQL['ss_paths']})").fetchone()[0]
+    assert n > 2 and QUERIES["ss_paths"](spark, SF).count() == n
+
+
 def test_parts_of_the_view_are_pruned(spark):
     plan = QUERIES["starts_with_prefix"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
