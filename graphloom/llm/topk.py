@@ -1,10 +1,11 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors become integers and are dealt into shards. A shard's postings (row, component, value) are
-cut into segments by quantised impact |value|. For a block of queries the segments are processed in
-descending order, each adding its postings' products to all accumulators; after a segment, what a
-row can still gain is bounded by the norms of the query and of the row's unread postings. Processing
-stops when the bound proves that few rows can still reach the k best, and those are scored exactly.
+Vectors become integers and are dealt into shards. A shard keeps a posting list for each component,
+cut into segments by quantised size of the values. A query orders all segments by descending
+quantised impact (its component's size times the segment's largest value) and adds one segment after
+the other to its accumulators. After each impact level two bounds hold for what a row can still gain:
+the impacts of the unread segments, and the norms of the query's and of the row's unread part. Reading
+stops only when these prove that few rows can be among the k best; those are then scored exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ HITS = "query_id long, vec_id long, score long"
 class Shard:
     """Impact-ordered postings of a shard's distinct rows."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int, levels: int = 6):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int, levels: int = 5):
         # of equal rows only the k + 1 smallest distinct ids (one may be the query's own), and of one
         # id only k copies, can be among k results of any query
         order = np.lexsort((ids, *values.T)) if len(ids) else np.array([], int)
@@ -38,48 +39,73 @@ class Shard:
         copy = at - np.maximum.accumulate(np.where(fresh, at, 0))
         keep = (nth - np.maximum.accumulate(np.where(new, nth, 0)) <= k) & (copy < k)
         self.ids, self.values = ids[keep], values[keep].astype(np.float64)
+        self.squares = (self.values * self.values).sum(1)
+        # postings: (component, level) segments of rows and values; level j holds sizes in (top / 2**(j + 1), top / 2**j]
         size = np.abs(self.values)
-        top = size.max(initial=0)
-        edges = [0.0] if top == 0 else [0.0, *(top / 2**j for j in range(levels, 0, -1))]
-        self.segments = []  # descending impact: postings as a sparse matrix kept densely, and the norms of the rest
-        left = self.values
-        for low in reversed(edges):
-            part = np.where(np.abs(left) >= low, left, 0.0) if low else left
-            left = left - part
-            self.segments.append((part, np.sqrt((left * left).sum(1))))
-
-    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        top = size.max(initial=1)
+        with np.errstate(divide="ignore"):
+            level = np.minimum(np.floor(np.log2(top / size)), levels - 1)
+        rows, parts = np.nonzero(size)
+        name = parts * levels + level[rows, parts].astype(np.int64)
+        order = np.argsort(name, kind="stable")
+        self.rows, self.posted = rows[order], self.values[rows, parts][order]
+        self.names, self.starts = np.unique(name[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.parts = self.names // levels
+        self.largest = np.maximum.reduceat(np.abs(self.posted), self.starts) if len(order) else np.array([])
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of a superset of each query's k best rows of this shard, rows of its own id left out."""
-        q = queries.astype(np.float64)
-        norms = np.sqrt((q * q).sum(1))
+        for own, q in zip(q_ids.tolist(), queries.astype(np.float64)):
+            other = self.ids != own
+            possible = self._possible(q, other, k, max(few, 2 * k))
+            yield own, self.ids[possible], np.rint(self.values[possible] @ q).astype(np.int64)
+
+    def _possible(self, q: np.ndarray, other: np.ndarray, k: int, few: int) -> np.ndarray:
+        """Rows of `other` that no proof keeps from the k best; at most `few` of them, or all segments were read."""
         n = len(self.ids)
-        acc = np.zeros((len(q), n))
-        open_ = np.arange(len(q))
-        for at, (part, rest) in enumerate(self.segments):
-            if not len(open_):
-                return
-            acc[open_] += q[open_] @ part.T
-            final = at == len(self.segments) - 1
-            done = []
-            for j in open_:
-                gain = norms[j] * rest * (1 + 1e-12) + 1e-6
-                # rows of the query's own id are no results, so their bounds prove nothing
-                other = self.ids != q_ids[j]
-                low = np.where(other, acc[j] - gain, -math.inf)
-                floor = np.partition(low, n - k)[n - k] if n > k else -math.inf
-                possible = np.flatnonzero(other & (acc[j] + gain >= floor))
-                if final or len(possible) <= max(few, 2 * k):
-                    scores = np.rint(self.values[possible] @ q[j]).astype(np.int64)
-                    yield int(q_ids[j]), self.ids[possible], scores
-                    done.append(j)
-            open_ = np.setdiff1d(open_, done)
+        if np.count_nonzero(other) <= few:
+            return np.flatnonzero(other)
+        impact = np.abs(q)[self.parts] * self.largest
+        live = np.flatnonzero(impact)
+        if not len(live):
+            return np.flatnonzero(other)
+        grade = np.floor(-2 * np.log2(impact[live] / impact.max())).astype(np.int64)  # two levels to each halving
+        order = live[np.argsort(grade, kind="stable")]
+        grade = np.sort(grade)
+        acc, unread = np.zeros(n), self.squares.copy()
+        # a row has one posting of a component, so the largest unread impact of each component is what it can gain
+        gain = np.zeros(len(q))
+        np.maximum.at(gain, self.parts[live], impact[live])
+        pending = {int(p): impact[(self.parts == p)].tolist() for p in np.unique(self.parts[live])}
+        cuts = np.flatnonzero(np.diff(grade)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+            for s in order[a:b].tolist():
+                rows, values = self.rows[self.starts[s] : self.ends[s]], self.posted[self.starts[s] : self.ends[s]]
+                acc[rows] += q[self.parts[s]] * values
+                unread[rows] -= values * values
+                left = pending[int(self.parts[s])]
+                left.remove(impact[s])
+                gain[self.parts[s]] = max(left, default=0.0)
+            if b == len(order):
+                break
+            open_ = gain > 0
+            by_norm = math.sqrt(float((q[open_] ** 2).sum())) * np.sqrt(unread)
+            more = np.minimum(by_norm, gain.sum()) * (1 + 1e-12) + 1e-6
+            # rows of the query's own id are no results, so their bounds prove nothing
+            floor = np.partition(np.where(other, acc - more, -math.inf), n - k)[n - k]
+            possible = np.flatnonzero(other & (acc + more >= floor))
+            if len(possible) <= few:
+                return possible
+        floor = np.partition(np.where(other, acc, -math.inf), n - k)[n - k]
+        return np.flatnonzero(other & (acc >= floor))
 
 
 def top_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _group(k: int, block: int):
+def _group(k: int):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
@@ -92,11 +118,9 @@ def _group(k: int, block: int):
                 return m
 
             shard = Shard(rows["vec_id"].to_numpy(np.int64), matrix(rows["v"]), k)
-            q_ids, q = queries["vec_id"].to_numpy(np.int64), matrix(queries["v"])
-            for s in range(0, len(q), block):
-                for query, ids, scores in shard.search(q_ids[s : s + block], q[s : s + block], k):
-                    best = top_of(ids, scores, k)
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": scores[best]}))
+            for query, ids, scores in shard.search(queries["vec_id"].to_numpy(np.int64), matrix(queries["v"]), k):
+                best = top_of(ids, scores, k)
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
@@ -120,23 +144,27 @@ def top_k(
     embeddings: DataFrame,
     is_query,
     k: int = 5,
-    shard_rows: int = 8_192,
+    shard_values: int = 1 << 19,
     block_queries: int = 8_192,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query, ties to the smaller vec_id.
 
-    Rows meet queries in blocks: every shard of rows with every block of queries, both of bounded
-    size; a block's best of each shard are merged. Vectors of different lengths are padded with
-    zeros. Repeated rows count as rows of their own, other than that a query never meets its vec_id.
+    Rows meet queries in blocks: every shard of rows (about shard_values components) with every block
+    of queries; a block's best of each shard are merged. Vectors of different lengths are padded with
+    zeros. Repeated rows count as rows of their own, other than that a query never meets its vec_id;
+    of several vectors under a query's vec_id the least, in the order of arrays, asks. Queries fewer
+    than k other rows have get all; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
     ship(spark)
     v = vectors(embeddings)
-    queries = v.filter(is_query).dropDuplicates(["vec_id"])
-    sizes = v.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["q"] // block_queries))
-    left = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = v.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sizes = v.agg(F.sum(F.size("v")).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    shards, blocks = max(1, -(-(sizes["n"] or 0) // shard_values)), max(1, -(-sizes["q"] // block_queries))
+    # copies of a row part over shards too, so that no shard grows with them
+    left = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy(F.col("shard").cast("long"), F.col("block").cast("long")).cogroup(right.groupBy(F.col("shard").cast("long"), F.col("block").cast("long"))).applyInPandas(_group(k, 256), HITS)
+    cell = (F.col("shard").cast("long"), F.col("block").cast("long"))
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_group(k), HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
