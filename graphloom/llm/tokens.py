@@ -1,7 +1,7 @@
 """Token ids and edit-aware token counts.
 
-A document is lexed once into pre-tokens; groups of consecutive pre-tokens are the leaves of a
-segment tree that holds characters and tokens of each subtree. An edit lexes again only from the
+A document is lexed once into pre-tokens (special tokens are such of their own); groups of
+consecutive pre-tokens are the leaves of a segment tree that holds characters and tokens of each subtree. An edit lexes again only from the
 last pre-token that cannot have seen it to the first old boundary behind it; the touched leaves
 change and the sums above them are renewed, all else stays.
 """
@@ -25,8 +25,16 @@ from .common import documents, ship
 #: Fixed value: the pre-token pattern of the byte-level BPE family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A pre-token that ends at e was decided by characters before e + LOOKAHEAD.
-LOOKAHEAD = 2
+
+def lexer(special: list[str]) -> regex.Pattern:
+    """Pre-tokens of a text in which special tokens stand for themselves and end what comes before them."""
+    if not special:
+        return regex.compile(PATTERN)
+    names = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+    # only where a run of characters may go on into a special token it has to look for one
+    run = lambda of: f"(?:(?!{names}){of})+" if any(regex.match(of, s) for s in special) else f"{of}+"
+    letters, numbers, other = (run(of) for of in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
+    return regex.compile(rf"{names}|'s|'t|'re|'ve|'m|'ll|'d| ?{letters}| ?{numbers}| ?{other}|\s+(?:(?={names})|(?!\S))|\s+")
 
 
 class Encoder:
@@ -41,6 +49,9 @@ class Encoder:
     def __init__(self, path: str):
         self.exact = Tokenizer.from_file(path)
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.lexer = lexer(self.special)
+        #: A pre-token that ends at e was decided by characters before e + lookahead.
+        self.lookahead = max([2, *map(len, self.special)])
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.fast = None
         if os.path.exists(ranks):
@@ -60,18 +71,16 @@ class Encoder:
         if len(memo) > 500_000:
             memo.clear()
         for p in set(pieces).difference(memo):
-            memo[p] = len(self.exact.encode(p, add_special_tokens=False).ids if self.fast is None else self.fast.encode_ordinary(p))
+            memo[p] = 1 if p in self.special else len(self.exact.encode(p, add_special_tokens=False).ids if self.fast is None else self.fast.encode_ordinary(p))
         return [memo[p] for p in pieces]
 
 
 class SegmentTree:
     """Sums of characters and tokens over the leaves of one document."""
 
-    lexer = regex.compile(PATTERN)
-
     def __init__(self, text: str, encoder: Encoder, leaf: int = 64):
         self.encoder, self.leaf = encoder, leaf
-        pieces = self.lexer.findall(text)
+        pieces = encoder.lexer.findall(text)
         counts = encoder.count(pieces)
         self.leaves = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
@@ -113,20 +122,21 @@ class SegmentTree:
         """Put `new` in place of characters start to end (of the text as it is now)."""
         if not 0 <= start <= end <= self.length:
             raise ValueError("edit outside of the text")
-        first, at = self._find(max(0, start - LOOKAHEAD))
+        ahead = self.encoder.lookahead
+        first, at = self._find(max(0, start - ahead))
         # within the leaf: the last boundary whose pre-tokens before it cannot have seen the edit
         keep, begin = 0, at
         for p in self.leaves[first]:
-            if begin + len(p) + LOOKAHEAD > start:
+            if begin + len(p) + ahead > start:
                 break
             begin += len(p)
             keep += 1
         if keep == 0 and first and begin > 0:  # the previous leaf's last pre-tokens may have looked this far
-            while first and begin + LOOKAHEAD > start and keep == 0:
+            while first and begin + ahead > start and keep == 0:
                 first -= 1
                 group = self.leaves[first]
                 keep = len(group)
-                while keep and begin + LOOKAHEAD > start:
+                while keep and begin + ahead > start:
                     keep -= 1
                     begin -= len(group[keep])
         last, last_at = self._find(max(begin, end - 1) if end > begin else end)
@@ -165,7 +175,7 @@ class SegmentTree:
                 bounds[pos] = k
                 pos += len(p)
             fresh, at = [], 0
-            for m in self.lexer.finditer(edited + ahead):
+            for m in self.encoder.lexer.finditer(edited + ahead):
                 if m.start() >= len(edited):
                     break
                 was = begin + m.start() - shift
@@ -188,7 +198,7 @@ class SegmentTree:
         out = []
         for i in range(last + 1, len(self.leaves)):
             out.extend(self.leaves[i])
-            if len(out) >= 3:
+            if len(out) >= 3 and sum(map(len, out)) > self.encoder.lookahead:
                 break
         return "".join(out)
 
