@@ -72,7 +72,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: DataFrame | dict[st
     if len(vocabulary) > MOST_TOKENS:
         raise ValueError(f"the templates have more than {MOST_TOKENS} tokens")
     # one row per row of docs, with a number that stays, and the places of words in the vocabulary
-    found = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), *_words(F.coalesce(F.col("text").cast("string"), F.lit("")), vocabulary)), "license-words")
+    split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), NOT_WORD).alias("words"))
+    found = written(split.select("doc_id", "row", *_words(vocabulary)), "license-words")
     per_row = _matches(found, tokens, notices, threshold).groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
     out = found.join(per_row, "row", "left")
     places = {label: _places(phrase) for phrase, label in PHRASES.items()}
@@ -92,9 +93,9 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: DataFrame | dict[st
     )
 
 
-def _words(text: Column, vocabulary: list[str]) -> list[Column]:
-    """n_words, and as `at` the places (i, w) of words in the vocabulary, in order."""
-    words = F.split(text, NOT_WORD)
+def _words(vocabulary: list[str]) -> list[Column]:
+    """From the column words: n_words, and as `at` the places (i, w) of words in the vocabulary, in order."""
+    words = F.col("words")
     lead = (F.element_at(words, 1) == "").cast("long")  # a text that begins or ends with no word has an empty piece there
     # lower() changes more than A-Z; what becomes a word of the vocabulary with its size kept was ASCII before
     known = lambda w: F.lower(w).isin(vocabulary) & (F.octet_length(F.lower(w)) == F.octet_length(w))
