@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .recur import SPANS, Region, Words, batch, groups, keyed, merged, recurring_spans
+from .recur import SPANS, Region, Words, batch, groups, keyed, merged, recurring_spans, windows_of
 
 
 def occurrences(shard: list[list[Region]], length: int) -> Iterator[tuple[Region, list[tuple[int, int, int]]]]:
@@ -78,8 +78,8 @@ def _kernel(length: int, shard_bytes: int = 2 << 20):
     def located(shard: list[list[Region]]) -> pa.RecordBatch:
         out = []
         for region, spans in occurrences(shard, length):
-            for key, th, doc, a in region.places:
-                out.extend((key, th, a + lo, a + hi, first) for lo, hi, first in spans if doc is not None and first < doc)
+            for key, th, doc, starts in region.places:
+                out.extend((key, th, lo, hi, first, starts) for lo, hi, first in spans if doc is not None and first < doc)
         return batch(out, SPANS)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +104,12 @@ def remove_phrases(docs: DataFrame, length: int = 13, hot: int = 20_000) -> Data
     doc_id. Words are parted by the six ASCII white-space characters and else unchanged; kept words
     are joined by one space. Null texts have no words. Rows of one doc_id never remove each other's
     words; rows with a null doc_id keep all theirs and take nothing from others. An empty table
-    gives no rows. Grams with more than `hot` occurrences are decided by counting their windows.
+    gives no rows. Grams in more than `hot` texts or
+    8 * `hot` places are decided by counting their windows.
     """
-    d = keyed(documents(docs), F.coalesce("doc_id", F.xxhash64("text")))
-    spans = recurring_spans(d, Words(length), _kernel(length), lambda n, lo, hi: lo < hi, hot, by_document=True)
+    source = documents(docs)
+    d = keyed(source, F.coalesce("doc_id", F.xxhash64("text")))
+    spans = recurring_spans(source, d, Words(length), _kernel(length), lambda n, lo, hi: lo < hi, hot, by_document=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -116,7 +118,7 @@ def remove_phrases(docs: DataFrame, length: int = 13, hot: int = 20_000) -> Data
             sizes, gone, kept = [], [], []
             for doc, text, th, found in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
                 words = text.split()
-                mine = [(s["lo"], s["hi"]) for s in found or [] if s["th"] == th and doc is not None and s["first"] < doc]
+                mine = [(lo, hi) for lo, hi, first in windows_of(found, th) if doc is not None and first < doc]
                 cuts = merged(mine, length)
                 edges = [0, *(x for c in cuts for x in c), len(words)]
                 kept.append(b" ".join(w for s, e in zip(edges[::2], edges[1::2]) for w in words[s:e]).decode())

@@ -7,7 +7,9 @@ are counted once, and a kernel decides for the distinct regions of a gram which
 so frequent that their regions should not meet in one task take another exact way: one row for each
 window, counted by content.
 
-Texts are shuffled once; the plan uses that exchange for all three readings.
+Texts are shuffled once, and so are the grams of each text: both uses of an exchange share it. Grams
+that hold more than their share of all rows are found beforehand, by counters that miss none of
+them, and their rows are dealt over several partitions.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 LOW = U((1 << 24) - 1)
 CHUNK = 1 << 20  # units or bytes looked at together
+
+
 def _schema(**fields: str) -> T.StructType:
     """Columns as named; those ending in ! are never null (so that no filter on them splits an exchange)."""
     types = {"long": T.LongType(), "int": T.IntegerType(), "binary": T.BinaryType()}
@@ -35,9 +39,10 @@ def _schema(**fields: str) -> T.StructType:
 
 
 GRAMS = _schema(g="long!", key="long!", n="long!")
-REGIONS = _schema(key="long!", th="long!", doc_id="long", route="long!", a="int!", at="int!", region="binary!")
-WINDOWS = _schema(key="long!", th="long!", doc_id="long", h1="long!", h2="long!", a="int!")
-SPANS = _schema(key="long!", th="long!", lo="int!", hi="int!", first="long")
+REGIONS = _schema(key="long!", th="long!", doc_id="long", route="long!", at="int!", starts="binary!", region="binary!")
+SHARES = _schema(g="long", n="long!")
+WINDOWS = _schema(key="long!", th="long!", doc_id="long", h1="long!", h2="long!", n="long!", starts="binary!")
+SPANS = _schema(key="long!", th="long!", lo="int!", hi="int!", first="long", starts="binary!")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -206,21 +211,86 @@ def keyed(docs: DataFrame, key: Column) -> DataFrame:
     return d.select("doc_id", "text", "key", "th", *(["rest"] if rest else [])).repartition(partitions(docs.sparkSession), "key")
 
 
-def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int, by_document: bool) -> DataFrame:
-    """(key, spans): for texts with recurring windows, all of (th, first window, last window, least doc_id).
+class Counters:
+    """At most `size` counters of grams (mergeable; Misra and Gries): a count is short by total / size at most."""
+
+    def __init__(self, size: int):
+        self.size, self.total = size, 0
+        self.g, self.n = np.array([], np.int64), np.array([], np.int64)
+
+    def add(self, g: np.ndarray, n: np.ndarray) -> None:
+        self.total += int(n.sum())
+        self.g, at = np.unique(np.concatenate([self.g, g]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.g)).astype(np.int64)
+        if len(self.g) > self.size:
+            n = self.n - np.partition(self.n, -self.size - 1)[-self.size - 1]
+            self.g, self.n = self.g[n > 0], n[n > 0]
+
+
+class Shares:
+    """Grams with more than a quarter of a partition's rows, and over how many names each is dealt."""
+
+    def __init__(self, found: dict[int, int], total: int, partitions: int):
+        share = total // (4 * partitions) + 1
+        large = sorted(g for g, n in found.items() if n > share)
+        self.g = np.array(large, np.int64)
+        self.parts = np.array([-(-found[g] // share) for g in large], np.uint64)
+
+    def names(self) -> list[tuple[int, int]]:
+        """(name, gram) of every part; at most 4 * partitions of them and one for each large gram."""
+        return [(int(self._name(np.array([g]), np.array([p], np.uint64))[0]), int(g)) for g, n in zip(self.g, self.parts) for p in range(int(n))]
+
+    @staticmethod
+    def _name(g: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return mix(g.view(np.uint64) ^ mix(part + U(1))).view(np.int64)
+
+    def dealt(self, g: np.ndarray, key: int) -> np.ndarray:
+        """The names under which a text of this key counts its grams: most grams are their own name."""
+        if not len(self.g):
+            return g
+        at = np.minimum(np.searchsorted(self.g, g), len(self.g) - 1)
+        large = self.g[at] == g
+        out = g.copy()
+        out[large] = self._name(g[large], U(key & 0xFFFFFFFFFFFFFFFF) % self.parts[at[large]])
+        return out
+
+
+def shares(docs: DataFrame, kind) -> Shares:
+    """Counts the grams of docs(doc_id, text) in bounded counters; what they say decides places of rows, no result."""
+    n = partitions(docs.sparkSession)
+    size = 16 * n
 
-    docs: from keyed(). recurs(count, least, largest) says whether what occurs so often, in documents
-    from the least to the largest doc_id (of grams: key), recurs. kernel(batches of REGIONS sorted by
-    route and region) gives SPANS.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counters(size)
+        for b in batches:
+            found = [g.view(np.int64) for _, _, _, _, g in runs_of(kind, _raw(b.column(0)))]
+            if found:
+                held.add(*np.unique(np.concatenate(found), return_counts=True))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *held.g.tolist()], pa.int64()), pa.array([held.total, *held.n.tolist()], pa.int64())], SHARES.names)
+
+    # the row without a gram is the total and so the largest; `size` more rows hold every gram of a share
+    counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, SHARES).groupBy("g").agg(F.sum("n").alias("n"))
+    rows = {r["g"]: r["n"] for r in counted.orderBy(F.desc("n"), F.asc_nulls_first("g")).limit(size + 1).collect()}
+    total = rows.pop(None, 0)
+    return Shares({g: n + total // size for g, n in rows.items()}, total, n)
+
+
+def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int, by_document: bool) -> DataFrame:
+    """(key, spans): for texts with recurring windows, all of (th, first window, last window, least doc_id, starts).
+
+    Windows count from each of `starts` (see starts_of): what a text repeats is one row.
+
+    docs: from keyed(), of the texts of `source`. recurs(count, least, largest) says whether what
+    occurs so often, in documents from the least to the largest doc_id (of grams: key), recurs.
+    kernel(batches of REGIONS sorted by route and region) gives SPANS.
     by_document: the key is the doc_id, recurring means in two documents, and rows without a doc_id
-    take no part. Grams are then shuffled once, for their counting and their join, so rows of a very
-    frequent gram meet in one task, which counts them in a stream. Without it, places are counted,
-    combined before their shuffle, and adaptive execution can split the join, at the price of a
-    second reading and a second, smaller shuffle.
+    take no part. Rows of a gram are counted and joined where they lie; those of a gram with more than
+    its share lie under several names, whose counts are put together.
     """
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
+    large = shares(source, kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,19 +301,18 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
                 out = [x for x in out if known[x[0]].as_py()]
             if out:
                 rows = np.repeat([i for i, _, _ in out], [len(g) for _, g, _ in out])
-                columns = [np.concatenate([g for _, g, _ in out]), keys[rows]]
-                if not by_document:
-                    columns.append(np.concatenate([n for _, _, n in out]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], grams_of.names)
-
-    grams_of = T.StructType(GRAMS.fields[:2]) if by_document else GRAMS
-    seen = docs.mapInArrow(read, grams_of)
-    count = F.count("*") if by_document else F.sum("n")  # of documents, or of places
-    if by_document:
-        seen = seen.repartition(n, "g")  # both uses take both columns, so that the exchange is one
-    often = seen.groupBy("g").agg(count.alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    often = often.filter(recurs(F.col("n"), F.col("lo"), F.col("hi"))).select("g", (F.col("n") > hot).alias("hot"))
-    hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot")).alias("gs"))
+                named = np.concatenate([large.dealt(g, int(keys[i])) for i, g, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(keys[rows]), pa.array(np.concatenate([n for _, _, n in out]))], GRAMS.names)
+
+    seen = docs.mapInArrow(read, GRAMS).repartition(n, "g")  # both uses take all columns, n too, so that the exchange is one
+    counts = seen.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    if names := large.names():
+        of = F.broadcast(spark.createDataFrame(names, "g long, whole long"))  # as many rows as names() says
+        whole = counts.join(of, "g").groupBy("whole").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        whole = F.broadcast(of.join(whole, "whole").select(F.col("g").alias("part"), *(F.col(c).alias(f"all_{c}") for c in ("n", "texts", "lo", "hi"))))
+        counts = counts.join(whole, F.col("g") == F.col("part"), "left").select("g", *(F.coalesce(f"all_{c}", c).alias(c) for c in ("n", "texts", "lo", "hi")))
+    often = counts.filter(recurs(F.col("n"), F.col("lo"), F.col("hi"))).select("g", ((F.col("texts") > hot) | (F.col("n") > 8 * hot)).alias("hot"))
+    hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot", "n")).alias("gs"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:
         """(key, th, doc_id, units, first windows, last windows, anchors, grams) of texts, for their wanted grams."""
@@ -252,36 +321,41 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
             texts = _raw(col["text"])
             for i, a, z, p, g in runs_of(kind, texts):
                 want = [x["g"] for x in col["gs"][i].as_py() if x["hot"] == often]
-                signed = g.view(np.int64)
-                take = np.isin(signed, np.array(want, np.int64))
+                signed, key = g.view(np.int64), col["key"][i].as_py()
+                take = np.isin(large.dealt(signed, key), np.array(want, np.int64))
                 if take.any():
                     found = (x[take].tolist() for x in (a, z, p, signed))
-                    yield col["key"][i].as_py(), col["th"][i].as_py(), col["doc_id"][i].as_py(), kind.split(texts[i]), *found
+                    yield key, col["th"][i].as_py(), col["doc_id"][i].as_py(), kind.split(texts[i]), *found
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
         for key, th, doc, units, *found in wanted(batches, False):
+            mine: dict[tuple, list[int]] = {}
             for lo, hi, at, gram in zip(*found):
                 region = kind.join(units[lo : hi + kind.length])
-                out.append((key, th, doc, gram, lo, at - lo, region))
+                mine.setdefault((gram, at - lo, region), []).append(lo)
                 held += len(region)
                 if held > 8 << 20:
-                    yield batch(out, REGIONS)
+                    yield batch([*out, *((key, th, doc, g, at, packed(s), r) for (g, at, r), s in mine.items())], REGIONS)
                     out, held = [], 0
+                    mine.clear()
+            out.extend((key, th, doc, g, at, packed(s), r) for (g, at, r), s in mine.items())
         if out:
             yield batch(out, REGIONS)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, th, doc, units, *found in wanted(batches, True):
+            mine: dict[int, list[int]] = {}
             for lo, hi, _, _ in zip(*found):
                 for w in range(lo, hi + 1):
-                    h = xxhash.xxh3_128_intdigest(kind.join(units[w : w + kind.length]))
-                    out.append((key, th, doc, signed64(h & 0xFFFFFFFFFFFFFFFF), signed64(h >> 64), w))
-                if len(out) > 50_000:
-                    yield batch(out, WINDOWS)
+                    mine.setdefault(xxhash.xxh3_128_intdigest(kind.join(units[w : w + kind.length])), []).append(w)
+                if len(out) + len(mine) > 50_000:
+                    yield batch([*out, *((key, th, doc, *halves(h), len(s), packed(s)) for h, s in mine.items())], WINDOWS)
                     out = []
+                    mine.clear()
+            out.extend((key, th, doc, *halves(h), len(s), packed(s)) for h, s in mine.items())
         if out:
             yield batch(out, WINDOWS)
 
@@ -289,18 +363,37 @@ def recurring_spans(docs: DataFrame, kind, kernel: Callable, recurs: Callable[[C
         some = hits.filter(F.exists("gs", lambda x: x["hot"] == F.lit(hot)))
         return docs.join(some.hint("shuffle_hash"), "key").select(*docs.columns, "gs")
 
-    # all regions of a gram in one place: at most `hot` of them
+    # all regions of a gram in one place: of at most `hot` texts and at most 8 * `hot` of them
     regions = texts(False).mapInArrow(cut, REGIONS).repartition(n, "route").sortWithinPartitions("route", "region")
     cold = regions.mapInArrow(kernel, SPANS)
     windows = texts(True).mapInArrow(every, WINDOWS)
-    common = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    common = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     common = common.filter(recurs(F.col("n"), F.col("first"), F.col("last"))).select("h1", "h2", "first")
-    warm = windows.join(common, ["h1", "h2"]).select("key", "th", F.col("a").alias("lo"), F.col("a").alias("hi"), "first")
-    return cold.unionAll(warm).groupBy("key").agg(F.collect_list(F.struct("th", "lo", "hi", "first")).alias("spans"))
+    # joined on one more key, so that both sides get an exchange of their own: adaptive execution splits only such
+    both = F.col("h1").bitwiseXOR(F.col("h2"))
+    warm = windows.withColumn("h", both).join(common.withColumn("h", both), ["h", "h1", "h2"]).select("key", "th", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "first", "starts")
+    return cold.unionAll(warm).groupBy("key").agg(F.collect_list(F.struct("th", "lo", "hi", "first", "starts")).alias("spans"))
+
+
+def halves(h: int) -> tuple[int, int]:
+    """128 bits as two signed longs."""
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h & 0xFFFFFFFFFFFFFFFF, h >> 64))
+
+
+def packed(starts: list[int]) -> bytes:
+    return np.array(starts, "<i4").tobytes()
+
+
+def starts_of(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<i4").tolist()
 
 
-def signed64(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def windows_of(spans: list[dict] | None, th: int) -> Iterator[tuple[int, int, int | None]]:
+    """(first window, last window, least doc_id) of all spans of the text with hash th."""
+    for s in spans or []:
+        if s["th"] == th:
+            for a in starts_of(s["starts"]):
+                yield a + s["lo"], a + s["hi"], s["first"]
 
 
 def batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -310,26 +403,27 @@ def batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 
 class Region:
-    """A distinct region of a gram: its bytes, anchor, and the places (key, th, doc_id, first window) where it stands."""
+    """A distinct region of a gram: its bytes, anchor, and the texts (key, th, doc_id, packed starts) where it stands, `n` times in all."""
 
-    __slots__ = ("text", "at", "places")
+    __slots__ = ("text", "at", "places", "n")
 
     def __init__(self, text: bytes, at: int):
-        self.text, self.at, self.places = text, at, []
+        self.text, self.at, self.places, self.n = text, at, [], 0
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Region]]:
     """The distinct regions of each route; rows come sorted by route and region."""
     route, held = None, []
     for b in batches:
-        for key, th, doc, r, a, at, region in zip(*(c.to_pylist() for c in b.columns)):
+        for key, th, doc, r, at, starts, region in zip(*(c.to_pylist() for c in b.columns)):
             if r != route:
                 if held:
                     yield held
                 route, held = r, []
             if not held or held[-1].text != region:
                 held.append(Region(region, at))
-            held[-1].places.append((key, th, doc, a))
+            held[-1].places.append((key, th, doc, starts))
+            held[-1].n += len(starts) // 4
     if held:
         yield held
 

@@ -11,7 +11,7 @@ less, and are linked to the least of each meeting.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, repeat
 
 import numpy as np
@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, documents, ship, written
 
@@ -64,9 +65,11 @@ def shingle_hashes(text: str, k: int) -> list[int]:
     return list(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(k)))), repeat(SEED)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long; null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, expressions in `keep`): fp is the 64-bit fingerprint as a signed long; null texts count as empty."""
     ship(docs.sparkSession)
+    d = documents(docs).selectExpr("doc_id", "text", *keep)
+    schema = T.StructType([d.schema["doc_id"], T.StructField("fp", T.LongType()), *d.schema.fields[2:]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,9 +84,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                     held += len(h)
                     at += 1
                 fp = fingerprints_of(np.concatenate(chunks), np.array(counts, np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, at - start), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                more = [c.slice(start, at - start) for c in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, at - start), pa.array(fp.view(np.int64)), *more], schema.names)
 
-    return documents(docs).mapInArrow(work, "doc_id long, fp long")
+    return d.mapInArrow(work, schema)
 
 
 def links(reps: DataFrame, hot: int = 64) -> DataFrame:
@@ -116,15 +120,15 @@ def links(reps: DataFrame, hot: int = 64) -> DataFrame:
     return pairs.unionAll(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of docs.
+def near_duplicates(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of docs, and the expressions in `keep` (of doc_id and text).
 
     component_id is the smallest doc_id reachable over links. A text without words has fingerprint
     zero and is linked like any other; null texts count as empty. Rows with a null doc_id keep their
     fingerprint, take part in no link and have a null component. Repeated rows get a row each. An
     empty table gives no rows.
     """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    fps = written(fingerprints(docs, shingle, keep), "fingerprints")
     reps = fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = connected_components(links(reps))
     classes = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -133,4 +137,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"),
+        *fps.columns[2:],
     )

@@ -4,11 +4,14 @@ The regions around a recurring gram (see recur) are sorted as suffixes by deep-s
 multikey quicksort to a shallow depth, then blind tries for the groups that agree so far. Sorted
 from the anchor to the right, and reversed from the anchor to the left, the common prefixes of
 neighbours tell how far any two regions agree on both sides, and so which windows they share.
+
+remove_repeats() takes out every place of a repeated string; without_repeats(), for corpora, leaves
+the one in the earliest document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .recur import SPANS, Bytes, batch, groups, keyed, merged, recurring_spans
+from .recur import SPANS, Bytes, batch, groups, keyed, merged, recurring_spans, windows_of
 
 SHALLOW, STEP = 32, 8
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -116,59 +120,74 @@ def sorted_with_prefixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rank, shared
 
 
-def shared_windows(regions: list[tuple[bytes, int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For each distinct region (bytes, anchor, how often) the ranges of its windows that recur."""
-    windows = [len(r) - length + 1 for r, _, _ in regions]
+NO_DOC = (1 << 63) - 1  # behind all documents
+
+
+def shared_windows(regions: list[tuple[bytes, int, int, int]], length: int, firsts: bool = False) -> list[list[tuple[int, int, int]]]:
+    """For each distinct region (bytes, anchor, how often, least document) the ranges of its windows that recur.
+
+    With firsts, each range goes with the least document that has its windows, else with NO_DOC.
+    """
+    windows = [len(r) - length + 1 for r, *_ in regions]
     if len(regions) == 1:
-        return [[(0, windows[0] - 1)] if regions[0][2] > 1 else []]
-    right, shared_r = sorted_with_prefixes([r[at:] for r, at, _ in regions])
-    left, shared_l = sorted_with_prefixes([r[:at][::-1] for r, at, _ in regions])
-    out: list[list[tuple[int, int]]] = []
+        return [[(0, windows[0] - 1, regions[0][3])] if regions[0][2] > 1 else []]
+    right, shared_r = sorted_with_prefixes([r[at:] for r, at, *_ in regions])
+    left, shared_l = sorted_with_prefixes([r[:at][::-1] for r, at, *_ in regions])
+    # least document of each window that recurs, -1 - NO_DOC for those that do not
+    alone = -1 - NO_DOC
+    marks = [np.full(w, doc if n > 1 else alone) for w, (_, _, n, doc) in zip(windows, regions)]
     if len(regions) <= 24:
         r_at, l_at = right.tolist(), left.tolist()
         r_in, l_in = shared_r.tolist(), shared_l.tolist()
-        for i, (_, at, n) in enumerate(regions):
-            if n > 1:
-                out.append([(0, windows[i] - 1)])
+        for i, (_, at, n, own) in enumerate(regions):
+            if n > 1 and not firsts:
                 continue
-            spans = []
-            for j in range(len(regions)):
+            for j, (*_, other) in enumerate(regions):
                 if j != i:
                     x, y = sorted((r_at[i], r_at[j]))
                     r = min(r_in[x + 1 : y + 1])
                     x, y = sorted((l_at[i], l_at[j]))
                     lo, hi = max(0, at - min(l_in[x + 1 : y + 1])), min(windows[i] - 1, at - length + r)
                     if lo <= hi:
-                        spans.append((lo, hi))
-            out.append(spans)
-        return out
-    # many regions: for each distance d from window start to anchor, equal windows are equal classes
-    ats = np.array([at for _, at, _ in regions])
-    last = np.array(windows) - 1
-    marks: list[list[int]] = [[] for _ in regions]
-    for d in range(int(max(0, (ats - last).min())), int(ats.max()) + 1):
-        has = np.flatnonzero((ats - d >= 0) & (ats - d <= last))
-        if len(has) < 2:
-            continue
-        r = np.cumsum(shared_r < length - d)[right[has]]
-        l = np.cumsum(shared_l < d)[left[has]]  # noqa: E741
-        both = r * (len(regions) + 1) + l
-        _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-        for i in has[counts[inverse] > 1].tolist():
-            marks[i].append(int(ats[i]) - d)
-    for i, (_, _, n) in enumerate(regions):
-        out.append([(0, windows[i] - 1)] if n > 1 else [(w, w) for w in marks[i]])
+                        mark = marks[i][lo : hi + 1]
+                        mark[mark == alone] = own
+                        np.minimum(mark, other, out=mark)
+    else:
+        # many regions: for each distance d from window start to anchor, equal windows are equal classes
+        ats = np.array([at for _, at, *_ in regions])
+        docs = np.array([doc for *_, doc in regions])
+        last = np.array(windows) - 1
+        for d in range(int(max(0, (ats - last).min())), int(ats.max()) + 1):
+            has = np.flatnonzero((ats - d >= 0) & (ats - d <= last))
+            if len(has) < 2:
+                continue
+            r = np.cumsum(shared_r < length - d)[right[has]]
+            l = np.cumsum(shared_l < d)[left[has]]  # noqa: E741
+            both = r * (len(regions) + 1) + l
+            _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
+            least = np.full(len(counts), NO_DOC)
+            np.minimum.at(least, inverse, docs[has])
+            again = counts[inverse] > 1
+            for i, first in zip(has[again].tolist(), least[inverse[again]].tolist()):
+                marks[i][ats[i] - d] = first
+    out: list[list[tuple[int, int, int]]] = []
+    for mark in marks:
+        if not firsts:
+            mark = np.where(mark == alone, alone, NO_DOC)
+        cuts = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
+        out.append([(lo, hi - 1, int(mark[lo])) for lo, hi in zip(cuts, cuts[1:]) if mark[lo] != alone])
     return out
 
 
-def _kernel(length: int):
+def _kernel(length: int, firsts: bool):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in groups(batches):
-            found = shared_windows([(r.text, r.at, len(r.places)) for r in group], length)
-            for region, windows in zip(group, found):
-                for lo, end in merged(windows, 1):
-                    out.extend((key, th, a + lo, a + end - 1, None) for key, th, _, a in region.places)
+            least = [min((NO_DOC if doc is None else doc for _, _, doc, _ in r.places), default=NO_DOC) for r in group]
+            found = shared_windows([(r.text, r.at, r.n, doc) for r, doc in zip(group, least)], length, firsts)
+            for region, ranges in zip(group, found):
+                for lo, hi, first in ranges:
+                    out.extend((key, th, lo, hi, None if first == NO_DOC else first, starts) for key, th, _, starts in region.places)
             if len(out) > 20_000:
                 yield batch(out, SPANS)
                 out = []
@@ -183,30 +202,67 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> Dat
 
     A byte goes if some string of `length` bytes that covers it also starts anywhere else, in another
     row or in the same one; overlapping occurrences count, strings never cross rows. Null texts count
-    as empty; repeated rows are occurrences of their own; an empty table gives no rows. Grams with
-    more than `hot` occurrences are decided by counting their windows instead of sorting them.
+    as empty; repeated rows are occurrences of their own; an empty table gives no rows. Grams in
+    more than `hot` texts or 8 * `hot` places are decided by counting their windows instead of sorting them.
     """
-    d = keyed(documents(docs), F.xxhash64("doc_id", "text"))
-    return _cut(d, length, hot).select("doc_id", "n_bytes", "spans", "kept")
+    source = documents(docs)
+
+    def cuts(text: bytes, doc: int | None, found: list[tuple]) -> list[tuple[int, int]]:
+        return merged([(lo, hi) for lo, hi, _ in found], length)
+
+    return _cut(source, source, length, hot, cuts).select("doc_id", "n_bytes", "spans", "kept")
+
 
+def whole_words(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The range without words that it holds in part; as it is if it has no white space."""
+    gaps = [i for i in range(start, end) if text[i] in WHITE]
+    if not gaps:
+        return start, end
+    inside = lambda i: 0 < i < len(text) and text[i - 1] not in WHITE and text[i] not in WHITE
+    a, z = gaps[0] if inside(start) else start, gaps[-1] + 1 if inside(end) else end
+    return (a, z) if a < z else (start, end)
 
-def without_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> DataFrame:
-    """docs, all columns, with the repeated bytes taken out of text; rows that lose their whole text go.
 
-    At a cut through a character, what is left of the character goes too. n_chars, if there, follows.
+def without_repeats(docs: DataFrame, length: int = 200, words: int = 50, whole: int = 400, hot: int = 20_000) -> DataFrame:
+    """docs, all columns, with repeated passages taken out of text but for their first document; rows that lose their whole text go.
+
+    A run of bytes covered by strings of `length` bytes that also start in a row with a smaller doc_id
+    is a passage, and goes, if it has more than `words` words or at least `whole` bytes: so passages of
+    over 50 words are found that are shorter than 400 bytes, and short common lines stay. Words that
+    a run holds in part stay, if it has white space; at a cut through a character, what is left of
+    the character goes too. Between what is left a space is put if none is there. Rows with a null
+    doc_id come behind all others; rows of one doc_id take nothing from each other. n_chars, if
+    there, follows. Null texts count as empty; an empty table stays one.
     """
-    d = keyed(docs, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    cut = _cut(d, length, hot, as_text=True).withColumnRenamed("kept", "text")
+
+    def cuts(text: bytes, doc: int | None, found: list[tuple]) -> list[tuple[int, int]]:
+        earlier = [(lo, hi) for lo, hi, first in found if first is not None and (doc is None or first < doc)]
+        runs = ((s, e) for s, e in merged(earlier, length) if e - s >= whole or len(text[s:e].split()) > words)
+        return [whole_words(text, s, e) for s, e in runs]
+
+    cut = _cut(documents(docs), docs, length, hot, cuts, as_text=True).withColumnRenamed("kept", "text")
     cut = cut.filter("n_bytes = 0 or length(text) > 0")
     other = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text", "n_chars")}
     other |= {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
     return cut.select(*[other[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
-def _cut(d: DataFrame, length: int, hot: int, as_text: bool = False) -> DataFrame:
-    """keyed() documents with n_bytes, spans and kept bytes, or as_text the whole characters among them."""
+def _joined(parts: list[bytes]) -> str:
+    out = ""
+    for part in (p.decode(errors="ignore") for p in parts):
+        out += (" " if out and part and not out[-1].isspace() and not part[0].isspace() else "") + part
+    return out
+
+
+def _cut(source: DataFrame, docs: DataFrame, length: int, hot: int, cuts: Callable, as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, spans and kept bytes, or as_text the whole characters among them.
+
+    cuts(text, doc_id, ranges of recurring windows) gives the ranges that go; without as_text nothing
+    asks for first documents, so they are not looked for.
+    """
+    d = keyed(docs, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rest = ["rest"] if "rest" in d.columns else []
-    spans = recurring_spans(d, Bytes(length), _kernel(length), lambda n, lo, hi: n > 1, hot, by_document=False)
+    spans = recurring_spans(source, d, Bytes(length), _kernel(length, as_text), lambda n, lo, hi: n > 1, hot, by_document=False)
     found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "spans", *rest)
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     schema = T.StructType([*(d.schema[c] for c in ("doc_id", *rest)), *more])
@@ -216,12 +272,13 @@ def _cut(d: DataFrame, length: int, hot: int, as_text: bool = False) -> DataFram
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             sizes, gone, kept = [], [], []
-            for text, th, found in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
-                cuts = merged([(s["lo"], s["hi"]) for s in found or [] if s["th"] == th], length)
-                edges = [0, *(x for c in cuts for x in c), len(text)]
-                kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])))
-                gone.append([{"start": s, "end": e} for s, e in cuts])
+            for doc, text, th, found in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
+                out = cuts(text, doc, list(windows_of(found, th)))
+                edges = [0, *(x for c in out for x in c), len(text)]
+                parts = [text[s:e] for s, e in zip(edges[::2], edges[1::2])]
+                kept.append(_joined(parts) if as_text else b"".join(parts))
+                gone.append([{"start": s, "end": e} for s, e in out])
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], schema.names)
 
     return found.mapInArrow(finish, schema)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,12 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from brute import brute_cut
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import decontam, html_extract, licenses, packing, phrase_dedup, simhash, suffix_dedup, tokens, topk, toxicity
-from graphloom.llm.recur import anchored_runs
+from graphloom.llm.recur import Counters, Shares, anchored_runs
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,7 +59,7 @@ def none(spark):
 def test_segment_tree_follows_any_edits(exact):
     enc = tokens.Encoder(PATH)
     rnd = random.Random(5)
-    parts = ["a", "b ", " ", "  ", "'", "'re", "\n", "1", "23", "!!", "é", "ll", "x y"]
+    parts = ["a", "b ", " ", "  ", "'", "'re", "\n", "1", "23", "!!", "é", "ll", "x y", "<|endoftext|>", "<|endof", "text|>", "<", "|>", " <"]
     for _ in range(300):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))
         tree = tokens.SegmentTree(text, enc, leaf=rnd.choice([1, 2, 4, 64]))
@@ -119,7 +121,7 @@ def test_top_k(spark):
     rows = [(i, [rnd.gauss(0, 0.2) for _ in range(8)]) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 420)] + [(421, None), (422, [1.0, None] + [0.0] * 6), (423, [float("nan")] * 8), (424, [float("inf")] * 8), (450, [0.0] * 8)]
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<double>, score int")
-    for shard, block in ((10_000, 10_000), (50, 3)):
+    for shard, block in ((80_000, 10_000), (400, 3)):
         got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard, block).collect()}
         assert got == brute_top(rows, 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -136,8 +138,15 @@ def test_top_k_of_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = brute_top(rows, 5)
     assert Counter(q for q, *_ in want) == {q: 5 for q in range(0, 300, 50)}
-    for shard in (10_000, 50):
+    for shard in (80_000, 400):
         assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard).collect()} == want
+    # more rows than a shard scores outright, two vectors under one id
+    many = [(i, [rnd.gauss(0, 0.3) for _ in range(12)]) for i in range(1500)]
+    many += [(q, many[q][1]) for q, copies in ((0, 5), (50, 49)) for _ in range(copies)] + [(100, [3.0] * 12), (100, [-3.0] * 12)]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<double>")
+    least = [(100, min(e for i, e in many if i == 100))]  # asks, for it is the least array
+    want = brute_top(least + [r for r in many if r != least[0]], 5)
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()} == want
     # a proof before the last segment: own copies must not lift the floor
     ids, values = np.array([0] * 8 + list(range(1, 4000))), np.random.default_rng(1).integers(-99, 99, (4007, 16))
     values[:8] = values[0]
@@ -405,11 +414,46 @@ def test_repeated_windows(spark, hot):
 
 def test_rows_without_repeats(spark):
     rows = [(1, "x" + "abcdé" * 30 + "left"), (2, "abcdé" * 30), (3, None), (4, "alone")]
-    out = suffix_dedup.without_repeats(frame(spark, rows), 60)
+    out = suffix_dedup.without_repeats(frame(spark, rows), 60, whole=60)
     assert out.columns == SCHEMA.replace(" ", ",").split(",")[0::3] or out.columns == frame(spark, rows).columns
     got = {r.doc_id: (r.text, r.n_chars, r.spans) for r in out.collect()}
-    assert 2 not in got and got[4] == ("alone", 5, "s") and got[3][0] == ""
-    assert got[1][0].startswith("x") and got[1][0].endswith("left") and "abcd" not in got[1][0]
+    assert got[4] == ("alone", 5, "s") and got[3][0] == "" and got[1] == (rows[0][1], len(rows[0][1]), "s")
+    assert 2 not in got
+
+
+@pytest.mark.parametrize("hot", [4_000, 2])
+def test_passages_of_earlier_documents_go(spark, hot):
+    rows = some_copies(11)
+    got = [(r.doc_id, r.text) for r in suffix_dedup.without_repeats(frame(spark, rows), 40, 20, 90, hot).collect()]
+    assert Counter(got) == Counter(brute_cut(rows, 40, 20, 90))
+
+
+def test_planted_passages_of_over_fifty_words(spark):
+    rnd = random.Random(8)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passages = [prose(n) for n in (51, 53, 60, 90)]
+    rows = [(d, f"{prose(40)} {passages[d % 4]} {prose(30)}") for d in range(24)] + [(100 + d, prose(120)) for d in range(10)]
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert all(sum(p in t for t in got.values()) == 1 for p in passages) and all(passages[d] in got[d] for d in range(4))
+    assert all(got[d] == t for d, t in rows if d >= 100) and all(got[d][:100] == t[:100] for d, t in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_counters_miss_no_large_gram(parts):
+    rnd = np.random.default_rng(parts)
+    g = np.concatenate([np.full(5_000, 7), np.full(900, -3), rnd.integers(0, 1 << 40, 20_000)])
+    rnd.shuffle(g)
+    held = Counters(50)
+    for part in np.array_split(g, 40):
+        held.add(*np.unique(part, return_counts=True))
+    assert held.total == len(g) and len(held.g) <= 50
+    counted = dict(zip(held.g.tolist(), held.n.tolist()))
+    assert 5_000 - len(g) // 50 <= counted[7] <= 5_000 and 900 - len(g) // 50 <= counted.get(-3, 0) <= 900
+    s = Shares({7: 5_000, -3: 900, 5: 1}, len(g), 4 * parts)
+    names = dict(s.names())
+    out = [int(s.dealt(np.array([7, 5]), key)[0]) for key in range(500)]
+    assert {names[x] for x in out} == {7} and len(set(out)) == int(s.parts[s.g.tolist().index(7)]) > 1
+    assert all(s.dealt(np.array([5]), key)[0] == 5 for key in range(9))
 
 
 def test_repeats_of_odd_rows(spark, odd, none):
@@ -436,22 +480,55 @@ def test_anchors_depend_on_the_window_alone():
 # licences
 
 
+WRAPPED = "Redistribution and use in source and\n * binary forms, with or without\n * modification, are permitted provided that\n * the following conditions are met:"
+LICENSED = [(1, None), (2, ""), (3, "CC BY cc-by. CC  BY"), (4, "ccby xcc by"), (5, "The General PUBLIC license\nall rights reserved ALL RIGHTS RESERVED"), (6, "Licensed under the Apache License, Version 2.0.\nx")]
+LICENSED += [(7, "under the apache license version\nreleased under MIT license"), (8, "é cc by É"), (9, "version 2 license apache the under licensed 0"), (10, LONG + " cc by"), (11, "\n\n  \n"), (12, "all rights all rights reserved")]
+LICENSED += [(13, WRAPPED), (14, "Released under\nthe MIT License."), (15, "released " + "x " * 9 + "the mit license"), (16, "\u212ac by c\u212a"), (17, "Licensed under the " * 300 + "x apache license version 2 0"), (18, "x " * 700 + WRAPPED + " y" * 700)]
+LICENSED += [(19, "Released under the MIT License."), (19, "nothing here"), (19, "nothing here"), (None, "Released under the MIT License."), (None, "cc by"), (20, "free software " * 2000)]
+
+
+def brute_licences(text):
+    """labels and score of a text: each block of each template, by sets."""
+    words = re.findall(r"[^\x00-\x2f:-@\[-`{-\x7f]+", text or "")
+    words = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+    base = {label for p, label in licenses.PHRASES.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
+    labels, best = set(base), 0.0
+    for t, label in licenses.TEMPLATES.items():
+        want, size = set(t.split()), math.ceil(1.25 * len(t.split()))
+        share = max((len(want & set(words[i : i + size])) / len(want) for i, w in enumerate(words) if w in want), default=0)
+        if share >= 0.8 - 1e-9:
+            labels.add(label)
+            best = max(best, share)
+    return ",".join(sorted(labels)), 1.0 if base else best
+
+
 def test_license_scan(spark):
     import duckdb
 
-    rows = [(1, None), (2, ""), (3, "CC BY cc-by. CC  BY"), (4, "ccby xcc by"), (5, "The General PUBLIC license\nall rights reserved ALL RIGHTS RESERVED"), (6, "Licensed under the Apache License, Version 2.0.\nx")]
-    rows += [(7, "under the apache license version\nreleased under MIT license"), (8, "é cc by É"), (9, "version 2 license apache the under licensed 0"), (10, LONG + " cc by"), (11, "\n\n  \n"), (12, "all rights all rights reserved")]
-    got = sorted(tuple(r) for r in licenses.scan(frame(spark, rows)).collect())
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = sorted((tuple(r) for r in licenses.scan(frame(spark, LICENSED)).collect()), key=key)
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    assert got == sorted(con.execute(licenses.ORACLE).fetchall())
+    con.executemany("INSERT INTO documents VALUES (?, ?)", LICENSED)
+    assert got == sorted(con.execute(licenses.ORACLE).fetchall(), key=key)
+    assert Counter((r[0], r[6], r[7]) for r in got) == Counter((d, *brute_licences(t)) for d, t in LICENSED)
     by = {r[0]: r for r in got}
     assert by[3][2:5] == (3, 0, 4) and by[5][5] == "gpl,reserved" and by[6][6] == "notice:apache"
+    assert by[13][6] == by[18][6] == "notice:bsd" and by[14][6] == "notice:mit" and by[15][6] == ""
+    assert sorted(r[6] for r in got if r[0] == 19) == ["", "", "notice:mit"]
+
+
+def test_license_templates_as_a_table(spark):
+    table = spark.createDataFrame([("Do as  you LIKE, with this!", "own:free"), (None, "x"), ("y", None)], "text string, label string")
+    rows = [(1, "you may do as you\nlike with this"), (2, "do as you"), (3, None)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows), templates=table).collect()}
+    assert got == {1: ("own:free", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    assert licenses.scan(frame(spark, rows), templates={}).filter("labels <> ''").count() == 0
 
 
 def test_license_scan_of_odd_rows(spark, odd, none):
-    assert licenses.scan(odd).count() == len(ODD)
+    rows = licenses.scan(odd).collect()
+    assert Counter((r.doc_id, r.labels, r.score) for r in rows) == Counter((d, *brute_licences(t)) for d, t in ODD)
     assert licenses.scan(none).count() == 0
 
 

@@ -1,7 +1,7 @@
 """The pipeline: every stage on what the one before has kept."""
 
-import numpy as np
 import pytest
+from brute import brute_cut
 
 import corpus_pipeline as P
 from graphloom.llm import decontam, simhash, toxicity
@@ -23,21 +23,9 @@ def test_stages_one_by_one(spark):
     assert ids[1] == ids[0] - toxic
     found = simhash.near_duplicates(steps[1]).collect()
     assert ids[2] == {r.component_id for r in found}
-    before = {r.doc_id: r.text.encode() for r in steps[2].collect()}
-    seen: dict[bytes, int] = {}
-    for b in before.values():
-        for i in range(len(b) - 399):
-            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
-    want = {}
-    for d, b in before.items():
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        text = bytes(np.frombuffer(b, np.uint8)[~gone]).decode(errors="ignore")
-        if text or not b:
-            want[d] = text
-    assert {r.doc_id: r.text for r in steps[3].collect()} == want
+    before = [(r.doc_id, r.text) for r in steps[2].collect()]
+    after = {r.doc_id: r.text for r in steps[3].collect()}
+    assert after == dict(brute_cut(before, 200, 50, 400)) and after != dict(before)
     assert all(r.n_chars == len(r.text) for r in steps[3].collect())
     leaks = {r.doc_id for r in decontam.contaminated(steps[3], table(spark, SF, "benchmark")).collect()}
     assert ids[4] == ids[3] - leaks
@@ -57,3 +45,11 @@ def test_odd_tables(spark, rows, tmp_path):
         assert pieces == []
     else:
         assert sorted(r.doc_id for r in pieces if r.doc_id in (1, 3)) == [1, 3]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    other, copy = "quite another text of some more words than three", "one two three four five six seven"
+    rows = [(1, copy), (2, copy), (2, other), (2, other), (3, "alone here in this row"), (None, copy), (None, copy)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, a string")
+    got = sorted((str(r.doc_id), r.text) for r in P.drop_near_copies(spark, docs, SF).collect())
+    assert got == sorted([("1", copy), ("2", other), ("3", "alone here in this row"), ("None", copy), ("None", copy)])
