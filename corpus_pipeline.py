@@ -8,6 +8,7 @@ compare documents by id; an empty table stays one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, packing, simhash, suffix_dedup, toxicity
 from graphloom.llm.common import table, written
@@ -22,19 +23,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of repeated rows one."""
-    found = written(simhash.near_duplicates(docs), "near")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.filter("doc_id is null"))
+    """Of each group of linked documents those of the smallest doc_id; of rows that repeat doc_id and text one.
+
+    A row goes if its own text is linked to a document with a smaller doc_id: where several texts stand
+    under one doc_id, each is judged by itself.
+    """
+    hashes = ["xxhash64(coalesce(cast(text as string), '')) as a", "xxhash64(1L, coalesce(cast(text as string), '')) as b"]
+    found = written(simhash.near_duplicates(docs.select("doc_id", "text"), keep=hashes), "near")
+    row = F.struct(F.col("doc_id").cast("long").alias("id"), *map(F.expr, hashes))
+    gone = found.filter("component_id <> doc_id").select(F.struct(F.col("doc_id").alias("id"), "a", "b").alias("row")).distinct()
+    kept = docs.join(gone, row == gone["row"], "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id", "a", "b").count().filter("count > 1").limit(1).count():
+        name = "_" * (1 + max(map(len, docs.columns)))  # no column has it
+        known = kept.filter("doc_id is not null").withColumn(name, row).dropDuplicates([name])
+        kept = known.drop(name).unionAll(kept.filter("doc_id is null"))
     return kept
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes and more that occur anywhere else."""
-    return suffix_dedup.without_repeats(docs)
+    """Texts without the passages of over 50 words, or of 400 bytes and more, that an earlier document has too.
+
+    The first document keeps its passage, so that no text leaves the corpus altogether.
+    """
+    return suffix_dedup.without_repeats(docs, length=200, words=50, whole=400)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
