@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.sources.graph import PREFIX, Graph
+from graphloom.storage import read_text
 
 
 def edge_type_counts(g: Graph) -> DataFrame:
@@ -47,6 +50,25 @@ def edge_histogram(g: Graph, edge_type: str, prop: str) -> DataFrame:
     return r.filter(F.col(PREFIX + prop).isNotNull()).groupBy(F.col(PREFIX + prop).alias("value")).agg(F.count("*").alias("n"))
 
 
+def collected(g: Graph) -> DataFrame:
+    """(kind, name, n): relationships by type, vertices by label, and how many of them have each property."""
+    parts = [
+        edge_type_counts(g).select(F.lit("edge_type").alias("kind"), F.col("edge_type").alias("name"), F.col("relationships").alias("n")),
+        label_counts(g).select(F.lit("label"), "label", "vertices"),
+        property_counts(g).select(F.lit("vertex_property"), "property", "vertices"),
+        relationship_property_counts(g).select(F.lit("relationship_property"), "property", "relationships"),
+    ]
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+def refresh(g: Graph, path: str) -> DataFrame:
+    """The statistics of this snapshot from the folder, where they are collected once for each version."""
+    where = f"{path.rstrip('/')}/stats-v{g.version}"
+    if read_text(g.spark, f"{where}/_SUCCESS") is None:
+        collected(g).write.mode("overwrite").parquet(where)
+    return g.spark.read.parquet(where)
+
+
 def summary(histogram: DataFrame) -> DataFrame:
     """(total, distinct_values, most_common) of a histogram."""
     return histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct_values"), F.coalesce(F.max("n"), F.lit(0)).alias("most_common"))

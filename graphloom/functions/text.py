@@ -40,7 +40,7 @@ def fingerprint(text: str) -> str:
 
 def explain(engine: Engine, text: str, params: dict | None = None, mode: str = "formatted") -> str:
     """Access of each pattern in written order, then Spark's plan."""
-    s = parse(text, params, engine.max_hops)
+    s = parse(text, params, engine.limits.hops)
     lines = []
     for n, arm in enumerate(s.arms if isinstance(s, Union_) else [s] if isinstance(s, Read) else []):
         bound: set[str] = set()

@@ -30,16 +30,19 @@ class Report:
     bare_duplicates: int
     out_of_range_ids: int
     null_keys: int
+    uneven_types: int  # types whose edges, walked from sources and from destinations, are not as many
     endpoints_without_vertex: int  # allowed, for information
 
     @property
     def ok(self) -> bool:
-        return not (self.duplicate_vertices or self.duplicate_relationships or self.bare_duplicates or self.out_of_range_ids or self.null_keys)
+        return not (self.duplicate_vertices or self.duplicate_relationships or self.bare_duplicates or self.out_of_range_ids or self.null_keys or self.uneven_types)
 
 
 def verify(g: Graph) -> Report:
     v, r = g.vertices, g.relationships
     twice = lambda df, *keys: df.groupBy(*keys).count().filter("count > 1").count()
+    walked = lambda near, name: g.edges().groupBy("edge_type", near).agg(F.count("*").alias("n")).groupBy("edge_type").agg(F.sum("n").alias(name))
+    uneven = walked("src", "out").join(walked("dst", "in"), "edge_type", "full").filter("not (out <=> `in`)")
     ends = r.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return Report(
         twice(v, "id"),
@@ -47,5 +50,6 @@ def verify(g: Graph) -> Report:
         twice(r.filter("rel_id is null"), "edge_type", "src", "dst"),
         v.filter("id < 0").count() + r.filter("src < 0 or dst < 0").count(),
         v.filter("id is null or labels is null").count() + r.filter("edge_type is null or src is null or dst is null").count(),
+        uneven.count(),
         ends.join(v.select("id"), "id", "left_anti").count(),
     )

@@ -36,6 +36,16 @@ def run_legs(engines: Mapping[str, Engine], legs: list[Leg]) -> dict[str, DataFr
     return {leg.name: engines[leg.graph].read(leg.text, dict(leg.params)) for leg in legs}
 
 
+def estimate(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of the result."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def cheapest_first(legs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The legs in the order of their estimates; equal ones as declared."""
+    return dict(sorted(legs.items(), key=lambda x: estimate(x[1])))
+
+
 def union_all(legs: Mapping[str, DataFrame]) -> DataFrame:
     frames = list(legs.values())
     if not frames:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ from graphloom.errors import Conflict, QueryError, Unsupported
 from graphloom.operators.points import batch_rows
 from graphloom.plans.reader import Reader, col
 from graphloom.sources.graph import PREFIX, Graph, type_of
-from graphloom.storage import written
+from graphloom.storage import mark_text, read_text, written
 
 EDGE = ["edge_type", "src", "dst"]
 #: Snapshots between two that are written to the shared folder to cut their lineage.
@@ -35,21 +37,40 @@ class Result:
 
 @dataclass
 class Ledger:
-    """Results of keyed writes: the same key with the same content is answered from here."""
+    """Results of keyed writes: the same key with the same content is answered from here.
 
+    With a folder that Spark can write, entries are files there too and outlive this process.
+    """
+
+    folder: str | None = None
+    spark: SparkSession | None = None
     entries: dict[str, tuple[str, Result]] = field(default_factory=dict)
 
+    def _path(self, key: str) -> str:
+        return f"{self.folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()}.json"
+
     def seen(self, key: str | None, statement: object) -> Result | None:
-        if key is None or key not in self.entries:
+        if key is None:
+            return None
+        if key not in self.entries and self.folder is not None and (kept := read_text(self.spark, self._path(key))):
+            found = json.loads(kept)
+            self.entries[key] = (found["content"], Result(**found["result"]))
+        if key not in self.entries:
             return None
         content, result = self.entries[key]
-        if content != repr(statement):
+        if content != _content(statement):
             raise Conflict(f"key {key!r} was used for another write")
         return result
 
     def put(self, key: str | None, statement: object, result: Result) -> None:
         if key is not None:
-            self.entries[key] = (repr(statement), result)
+            self.entries[key] = (_content(statement), result)
+            if self.folder is not None:
+                mark_text(self.spark, self._path(key), json.dumps({"content": _content(statement), "result": asdict(result)}))
+
+
+def _content(statement: object) -> str:
+    return hashlib.sha256(repr(statement).encode()).hexdigest()
 
 
 def apply(g: Graph, statement: object) -> tuple[Graph, Result]:

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from graphloom.cypher.ast import PathCall
 from graphloom.cypher.parser import check_name
 from graphloom.errors import LimitExceeded, MissingParameter, Unsupported
+from graphloom.limits import UNBOUNDED, Limits
 from graphloom.sources.graph import PREFIX, Graph
-from graphloom.storage import written
+from graphloom.storage import written, written_by
 
 DEFAULT_LIMIT = 100_000
 NO_LIMIT = 1 << 31  # a resultLimit from here on cuts nothing
@@ -181,10 +182,27 @@ def distance_to(adj: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def enumerate_paths(g: Graph, s: PathSpec) -> DataFrame:
-    """(source, target, nodes, steps) of structural candidate paths."""
+def least_costs(g: Graph, s: PathSpec) -> DataFrame | None:
+    """(step, least): a bound from below on what each structural edge costs; None where costs may be negative or are not numbers."""
+    if s.max_cost is None or s.cost is None or not isinstance(g.relationship_type(s.cost), T.NumericType):
+        return None
+    cost = F.coalesce(F.col(PREFIX + s.cost).cast("double"), F.lit(0.0))
+    r = g.relationships.filter(F.col("edge_type").isin(*s.rel_types))
+    if not r.filter(cost < 0).isEmpty():
+        return None
+    return r.groupBy("edge_type", "src", "dst").agg(F.min(cost).alias("least")).select(F.struct("edge_type", "src", "dst").alias("step"), "least")
+
+
+def enumerate_paths(g: Graph, s: PathSpec, limits: Limits = UNBOUNDED) -> DataFrame:
+    """(source, target, nodes, steps) of structural candidate paths.
+
+    Paths that no choice of relationships keeps within maxCost are not carried on.
+    """
     spark = g.spark
-    adj = written(steps(g, s), "steps")
+    bound = least_costs(g, s)
+    every = steps(g, s)
+    every = every.withColumn("least", F.lit(0.0)) if bound is None else every.join(bound, "step").select(*every.columns, "least")
+    adj = written_by(every, "steps", "cur")
     if s.sources is not None:
         sources = selected(g, s.sources)
     else:
@@ -194,7 +212,7 @@ def enumerate_paths(g: Graph, s: PathSpec) -> DataFrame:
         targets = written(selected(g, s.targets), "targets")
     elif s.target is not None:
         targets = written(spark.range(1).select(F.lit(s.target).cast("long").alias("id")), "targets")
-    paths = sources.select(F.col("id").alias("source"), F.array("id").alias("nodes"), F.array().cast(f"array<{STEP}>").alias("steps"))
+    paths = sources.select(F.col("id").alias("source"), F.array("id").alias("nodes"), F.array().cast(f"array<{STEP}>").alias("steps"), F.lit(0.0).alias("spent"))
     need = distance_to(adj.select("cur", "next"), targets, s.max_len) if targets is not None else None
     shortest = not s.weighted and s.path_count in (0, 1)
     reached = sources.select(F.col("id").alias("source"), F.col("id").alias("last"))
@@ -202,15 +220,18 @@ def enumerate_paths(g: Graph, s: PathSpec) -> DataFrame:
     pair = Window.partitionBy("source", "target")
     for h in range(1, s.max_len + 1):
         grown = paths.withColumn("cur", F.element_at("nodes", -1)).join(adj, "cur")
-        grown = grown.filter(~F.array_contains("nodes", F.col("next")))
+        grown = grown.filter(~F.array_contains("nodes", F.col("next"))).withColumn("spent", F.col("spent") + F.col("least"))
+        if bound is not None:
+            grown = grown.filter(F.col("spent") <= s.max_cost)
         if need is not None:
             grown = grown.join(need.withColumnRenamed("v", "next"), "next").filter(F.col("need") <= s.max_len - h)
-        grown = grown.select("source", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("steps", F.array("step")).alias("steps"), F.col("next").alias("last"))
+        grown = grown.select("source", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("steps", F.array("step")).alias("steps"), "spent", F.col("next").alias("last"))
         if shortest:
             grown = grown.join(reached, ["source", "last"], "left_anti")
             if s.path_count == 1:  # the first path to a vertex begins every first path through it
                 grown = grown.withColumn("#r", F.row_number().over(Window.partitionBy("source", "last").orderBy("steps"))).filter("`#r` = 1").drop("#r")
         grown = written(grown, "paths")
+        limits.check_rows(grown)
         if grown.isEmpty():
             break
         ended = grown.select("source", F.col("last").alias("target"), "nodes", "steps")
@@ -258,23 +279,26 @@ def choices(g: Graph, s: PathSpec, used: DataFrame) -> DataFrame:
     return every.groupBy("step").agg(F.sort_array(F.collect_list("one")).alias("options"))
 
 
-def expand(paths: DataFrame, options: DataFrame) -> DataFrame:
-    """Each structural path once for every choice of relationships along it."""
+def expand(paths: DataFrame, options: DataFrame, limits: Limits = UNBOUNDED) -> DataFrame:
+    """Each structural path once for every choice of relationships along it; how many there will be is checked first."""
     keyed = paths.withColumn("pid", F.xxhash64("source", "nodes", "steps"))
     hops = keyed.select("source", "nodes", "steps", F.posexplode("steps").alias("pos", "step")).join(options, "step")
     lists = hops.groupBy("source", "nodes", "steps").agg(F.sort_array(F.collect_list(F.struct("pos", "options"))).alias("hops"))
+    if limits.intermediate is not None:
+        choices_of = F.aggregate("hops", F.lit(1.0), lambda a, h: a * F.size(h["options"]))
+        limits.check("intermediate", int(lists.agg(F.coalesce(F.sum(choices_of), F.lit(0.0))).first()[0]))
     every = F.expr(
         "aggregate(hops, array(slice(hops[0].options, 1, 0)), (acc, hop) -> flatten(transform(acc, a -> transform(hop.options, o -> concat(a, array(o))))))"
     )
     return lists.select("source", F.element_at("nodes", -1).alias("target"), "nodes", "steps", F.explode(every).alias("rels"))
 
 
-def run_paths(g: Graph, call: PathCall, max_hops: int, max_rows: int | None = None) -> DataFrame:
+def run_paths(g: Graph, call: PathCall, limits: Limits, max_rows: int | None = None) -> DataFrame:
     """The columns that the call returns, in the order of sources, targets and selection."""
-    s = spec(call, max_hops, max_rows or DEFAULT_LIMIT)
-    paths = written(enumerate_paths(g, s), "candidates")
+    s = spec(call, limits.hops, max_rows or DEFAULT_LIMIT)
+    paths = written(enumerate_paths(g, s, limits), "candidates")
     used = paths.select(F.explode("steps").alias("s")).select("s.*").distinct()
-    full = expand(paths, choices(g, s, used))
+    full = expand(paths, choices(g, s, used), limits)
     add = lambda name: F.aggregate("rels", F.lit(0.0), lambda a, r: a + r[name])
     full = full.withColumn("weight", add("weight")).withColumn("cost", add("cost"))
     finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))

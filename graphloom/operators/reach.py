@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import written
+from graphloom.limits import UNBOUNDED, Limits
+from graphloom.storage import written, written_by
 
 #: Hops planned lazily in one plan; longer ranges write each frontier to the shared folder.
 LAZY_HOPS = 3
 
 
-def reach(adjacency: DataFrame, starts: DataFrame, low: int, high: int) -> DataFrame:
+def reach(adjacency: DataFrame, starts: DataFrame, low: int, high: int, limits: Limits = UNBOUNDED) -> DataFrame:
     """(origin, v): the ends of walks of low to high hops over adjacency(src, dst) from starts(origin).
 
     Walks may repeat vertices, so the origin and vertices nearer by come back where a walk of the
@@ -21,12 +22,13 @@ def reach(adjacency: DataFrame, starts: DataFrame, low: int, high: int) -> DataF
     parts = [frontier] if low == 0 else []
     adj = adjacency.select(F.col("src").alias("v"), F.col("dst").alias("next"))
     eager = high > LAZY_HOPS
-    if high > 2:  # read at every hop
-        adj = written(adj, "adjacency")
+    if high > 2:  # read at every hop, and moved to its place once
+        adj = written_by(adj, "adjacency", "v")
     for hop in range(1, high + 1):
         frontier = frontier.join(adj, "v").select("origin", F.col("next").alias("v")).distinct()
         if eager:
             frontier = written(frontier, "frontier")
+            limits.check_rows(frontier)
             if frontier.isEmpty():
                 break
         if hop >= low:
@@ -44,7 +46,7 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     seen = starts.select(F.col(starts.columns[0]).alias("v")).distinct()
     first = seen
     frontier = seen
-    adj = written(edges.select(F.col("src").alias("v"), F.col("dst").alias("next")).distinct(), "adjacency")
+    adj = written_by(edges.select(F.col("src").alias("v"), F.col("dst").alias("next")).distinct(), "adjacency", "v")
     for _ in range(hops):
         frontier = written(frontier.join(adj, "v").select(F.col("next").alias("v")).distinct().join(seen, "v", "left_anti"), "frontier")
         if frontier.isEmpty():

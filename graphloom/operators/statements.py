@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.cypher.ast import And, Compare, CreateEdges, Edge, Group, Item, Literal, Node, Prop, Read
 from graphloom.engine import Engine
-from graphloom.errors import LimitExceeded, QueryError
+from graphloom.errors import QueryError
 from graphloom.operators import points
 from graphloom.operators.mutate import Result, apply
 from graphloom.operators.reach import reach
@@ -84,8 +84,7 @@ class MatchReachable:
     def run(self, e: Engine) -> DataFrame:
         if not 0 <= self.low <= self.high:
             raise QueryError("the range of hops is empty")
-        if self.high > e.max_hops:
-            raise LimitExceeded(f"{self.high} hops are over the limit of {e.max_hops}")
+        e.limits.check("hops", self.high)
         starts = e.graph.spark.range(1).select(F.lit(self.src).cast("long").alias("origin"))
-        out = reach(e.graph.adjacency(self.edge_type), starts, self.low, self.high).select(F.col("v").alias("id"))
+        out = reach(e.graph.adjacency(self.edge_type), starts, self.low, self.high, e.limits).select(F.col("v").alias("id"))
         return out.agg(F.count("*").alias("count")) if self.return_count else out

@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from graphloom.cypher.ast import Aggregate, And, Compare, Edge, Group, Literal, Node, Not, Or, Prop, Read, Sort, StartsWith, Union_
 from graphloom.errors import QueryError, Unsupported
-from graphloom.operators.reach import reach
+from graphloom.limits import UNBOUNDED, Limits
+from graphloom.operators.reach import LAZY_HOPS, reach
 from graphloom.sources.graph import PREFIX, Graph
+from graphloom.storage import written
 
 NUMBER, BOOL, TEXT = "number", "boolean", "string"
 
@@ -45,8 +47,8 @@ class Rows:
 class Reader:
     """Plans one read over one graph snapshot."""
 
-    def __init__(self, graph: Graph, groups: tuple[Group, ...], wanted: set[Prop]):
-        self.graph, self.groups = graph, groups
+    def __init__(self, graph: Graph, groups: tuple[Group, ...], wanted: set[Prop], limits: Limits = UNBOUNDED):
+        self.graph, self.groups, self.limits = graph, groups, limits
         self.node_vars, self.rel_vars = set(), set()
         for g in groups:
             for p in g.patterns:
@@ -240,11 +242,20 @@ class Reader:
             starts = seeds.df.select(col(f"{p.src.var}__id").alias("origin")).filter("origin is not null").distinct()
         else:
             raise Unsupported("a variable length needs a source with an id or bound before")
-        pairs = reach(self.graph.adjacency(p.type), starts, *p.hops)
+        pairs = self._reached(p, starts)
         if p.src.var == p.dst.var:
             return pairs.filter("origin = v").select(F.col("origin").alias(f"{p.src.var}__id"))
         return pairs.select(F.col("origin").alias(f"{p.src.var}__id"), F.col("v").alias(f"{p.dst.var}__id"))
 
+    def _reached(self, p: Edge, starts: DataFrame) -> DataFrame:
+        find = lambda: reach(self.graph.adjacency(p.type), starts, *p.hops, self.limits)
+        if p.src.id is None or p.hops[1] <= LAZY_HOPS:
+            return find()
+        key = (p.type, p.src.id, *p.hops)
+        if key not in self.graph.reached:
+            self.graph.reached[key] = written(find(), "reached")
+        return self.graph.reached[key]
+
     # expressions
 
     def type_of(self, o: Prop | Literal) -> T.DataType | None:
@@ -328,17 +339,17 @@ def props_of(p: object) -> set[Prop]:
     return props_of(p.left) | props_of(p.right)
 
 
-def plan(graph: Graph, statement: Read | Union_) -> DataFrame:
+def plan(graph: Graph, statement: Read | Union_, limits: Limits = UNBOUNDED) -> DataFrame:
     if isinstance(statement, Read):
-        return plan_read(graph, statement)
-    arms = [plan_read(graph, a) for a in statement.arms]  # each keeps its own order and window
+        return plan_read(graph, statement, limits)
+    arms = [plan_read(graph, a, limits) for a in statement.arms]  # each keeps its own order and window
     out = reduce(lambda a, b: a.unionByName(b), arms)
     return out if statement.all else out.distinct()
 
 
-def plan_read(graph: Graph, q: Read) -> DataFrame:
+def plan_read(graph: Graph, q: Read, limits: Limits = UNBOUNDED) -> DataFrame:
     wanted = set().union(*(props_of(i.of) for i in q.items), *(props_of(s.of) for s in q.order))
-    r = Reader(graph, q.groups, wanted)
+    r = Reader(graph, q.groups, wanted, limits)
     bound = r.rows()
     keys = [i for i in q.items if isinstance(i.of, Prop)]
     sums = [i for i in q.items if isinstance(i.of, Aggregate)]

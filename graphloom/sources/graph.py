@@ -8,7 +8,7 @@ rel_id NULL marks a bare edge, of which a (type, src, dst) has at most one.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ class Graph:
     vertices: DataFrame
     relationships: DataFrame
     version: int = 0
+    #: Ends of long walks from one vertex, by (type, source, low, high): a snapshot does not change, so they hold while it lives.
+    reached: dict[tuple, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:

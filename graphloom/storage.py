@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset a master that runs in this process (local or local[n], as in tests) gets a folder below
+    spark.sql.warehouse.dir; on a cluster it is an error, since no folder of one machine will do.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/graphloom-checkpoints"
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
 
@@ -25,6 +29,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """written(), in buckets of `key`, so that joins on it do not move the table again."""
+    spark = df.sparkSession
+    table = f"graphloom_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, key)  # a file for each bucket, not one for each task and bucket
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved now, for the name is given back at once; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def mark_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text as one file at a Hadoop path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(conf).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(conf).exists(where):
+        return None
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files behind a table made by written(), once nothing reads it any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -10,12 +10,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.functions.stats import refresh
 from graphloom.operators.bulk import ingest
 from graphloom.sources.graph import Graph, load
 
 
-def ingest_stream(changes: DataFrame, path: str, checkpoint: str, first: Graph) -> StreamingQuery:
-    """Apply a stream of (op, seq, edge_type, src, dst) to the snapshots under path; `first` is saved as version 0."""
+def ingest_stream(changes: DataFrame, path: str, checkpoint: str, first: Graph, statistics: bool = False) -> StreamingQuery:
+    """Apply a stream of (op, seq, edge_type, src, dst) to the snapshots under path; `first` is saved as version 0.
+
+    With statistics, those of each new version are collected beside it.
+    """
     spark = changes.sparkSession
 
     def saved(version: int) -> Graph | None:
@@ -31,5 +35,7 @@ def ingest_stream(changes: DataFrame, path: str, checkpoint: str, first: Graph)
         if saved(n + 1) is None:
             g = ingest(load(spark, path, n), batch)
             Graph(g.vertices, g.relationships, n + 1).save(path)
+        if statistics:
+            refresh(load(spark, path, n + 1), path)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import pytest
 from graphloom.cypher.parser import parse
 from graphloom.engine import Engine
 from graphloom.errors import LimitExceeded, QueryError
+from graphloom.limits import Limits
 from graphloom.operators.paths import spec
 from graphloom.operators.reach import bfs, reach
 from graphloom.sources.graph import from_rows
@@ -49,6 +50,23 @@ def test_unweighted_single_pair(spark):
     assert nodes(both) == [[2, 1, 3]]
 
 
+def test_paths_over_their_cost_are_not_carried_on(spark, monkeypatch):
+    from graphloom.operators import paths
+
+    edges = [rel("R", i, j, 10 * i + j, w=1, c=1 if j == i + 1 else 50) for i in range(7) for j in range(7) if i != j]
+    e, sizes, kept = Engine(from_rows(spark, [], edges)), [], paths.written
+    monkeypatch.setattr(paths, "written", lambda df, name: (out := kept(df, name), sizes.append(out.count()) if name == "paths" else None)[0])
+    q = call("SPpaths", "path, pathWeight, pathCost", sourceNode=0, targetNode=4, relTypes=["R"], weightProp="w", costProp="c", maxCost=6, maxLen=5, pathCount=9)
+    assert nodes(e.rows(q)) == [[0, 1, 2, 3, 4]] and max(sizes) == 1
+    free = call("SPpaths", "path, pathWeight, pathCost", sourceNode=0, targetNode=4, relTypes=["R"], weightProp="w", costProp="c", maxLen=3, pathCount=50)
+    assert len(e.rows(free)) == 1 + 5 + 20
+    with pytest.raises(LimitExceeded, match="in between"):
+        Engine(e.graph, limits=Limits(intermediate=5)).rows(free)
+    many = Engine(from_rows(spark, [], [rel("R", 1, 2, i) for i in range(9)] + [rel("R", 2, 3, i) for i in range(9)]), limits=Limits(intermediate=80))
+    with pytest.raises(LimitExceeded, match="81"):  # 9 * 9 choices on one path
+        many.rows(call("SPpaths", sourceNode=1, targetNode=3, relTypes=["R"], pathCount=3))
+
+
 def test_weights_and_costs(spark):
     e = Engine(from_rows(spark, [], [rel("ROUTE", 1, 2, 1, w=1, c=5), rel("ROUTE", 2, 4, 2, w=1, c=5), rel("ROUTE", 1, 3, 3, w=2, c=1), rel("ROUTE", 3, 4, 4, w=2, c=1)]))
     base = dict(sourceNode=1, targetNode=4, relTypes=["ROUTE"], weightProp="w", costProp="c")

@@ -6,6 +6,7 @@ import io
 import pytest
 
 from graphloom.engine import Engine
+from graphloom.limits import Limits
 from graphloom.errors import LimitExceeded, MissingParameter, ParseError, QueryError, Unsupported
 from graphloom.sources.graph import from_rows
 
@@ -219,6 +220,32 @@ def test_row_limit_pages_and_values(tck):
     first = tck.page("MATCH (n:User) RETURN n.id AS n ORDER BY n", size=2)
     second = tck.page("MATCH (n:User) RETURN n.id AS n ORDER BY n", size=2, cursor=first.next_cursor)
     assert [r.n for r in first.rows + second.rows] == [1, 2, 3] and second.next_cursor is None
+    with pytest.raises(QueryError):
+        tck.page("MATCH (n:Post) RETURN n.id AS n ORDER BY n", size=2, cursor=first.next_cursor)
+    w = Engine(tck.graph)
+    first = w.page("MATCH (n:User) RETURN n.id AS n ORDER BY n", size=2)
+    w.write("MATCH (n:User {id: 3}) DETACH DELETE n")
+    assert [r.n for r in w.page("MATCH (n:User) RETURN n.id AS n ORDER BY n", size=2, cursor=first.next_cursor).rows] == [3]  # of its snapshot
+    assert [r.n for r in w.page("MATCH (n:User) RETURN n.id AS n ORDER BY n", size=2).rows] == [1, 2]
+
+
+def test_limits_are_named(tck):
+    q = "MATCH (n:User) RETURN n.id UNION MATCH (n:User) RETURN n.id"
+    for limits, text, name in (
+        (Limits(rows=2), q, "2 rows"), (Limits(edges=2), "MATCH (a)-[:FOLLOWS]->(b) RETURN a.id", "edges"), (Limits(intermediate=0), "MATCH (a {id: 1})-[:FOLLOWS*1..4]->(b) RETURN b.id", "in between"),
+        (Limits(hops=2), "MATCH (a {id: 1})-[:FOLLOWS*1..4]->(b) RETURN b.id", "hops"), (Limits(seconds=0.0001), "MATCH (a)-[:FOLLOWS]->(b) RETURN a.id", "seconds"),
+    ):
+        with pytest.raises(LimitExceeded, match=name):
+            Engine(tck.graph, limits=limits).rows(text)
+    assert len(Engine(tck.graph, limits=Limits(3, 10, 10, 10, 600)).rows(q)) == 3
+
+
+def test_long_walks_are_kept_with_their_snapshot(tck):
+    e = Engine(tck.graph)
+    q = "MATCH (a {id: 1})-[:FOLLOWS*1..4]->(b) RETURN b.id AS b ORDER BY b"
+    assert got(e, q) == got(e, q) == [(2,), (3,)] and len(e.graph.reached) == 1
+    e.write("CREATE (a {id: 3})-[:FOLLOWS]->(b {id: 4})")
+    assert not e.graph.reached and got(e, q) == [(2,), (3,), (4,)]
     assert tck.value("MATCH (n:User) RETURN count(*)") == 3
     assert sorted(tck.value("MATCH (n:User) RETURN n.id")) == [1, 2, 3]
     assert tck.access("MATCH (n:User) SET n.a = 1") == "write" and tck.access("MATCH (n:User) RETURN n.id") == "read"

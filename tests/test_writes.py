@@ -10,7 +10,8 @@ from graphloom.functions import stats
 from graphloom.functions.text import explain, fingerprint, run_features, shape
 from graphloom.functions.verify import digest, verify
 from graphloom.operators import bulk, points
-from graphloom.operators.legs import Leg, inner_join, run_legs, run_many, union_all
+from graphloom.operators.legs import Leg, cheapest_first, inner_join, run_legs, run_many, union_all
+from graphloom.operators.mutate import Ledger
 from graphloom.operators.statements import CreateEdge, MatchEdge, MatchOut, MatchOutFiltered, MatchReachable
 from graphloom.sources.graph import empty, from_jsonl, from_rows, load
 from graphloom.sources.sinks import iterate, json_body
@@ -79,6 +80,15 @@ def test_idempotency_key(spark):
         e.write("CREATE (a {id: 1})-[:T]->(b {id: 3})", key="k")
 
 
+def test_idempotency_key_outlives_the_engine(spark, tmp_path):
+    text = "CREATE (a {id: 1})-[:T]->(b {id: 2})"
+    first = Engine(empty(spark), ledger=Ledger(str(tmp_path), spark)).write(text, key="k")
+    later = Engine(empty(spark), ledger=Ledger(str(tmp_path), spark))
+    assert later.write(text, key="k") == first and later.graph.version == 0
+    with pytest.raises(Conflict):
+        later.write("CREATE (a {id: 1})-[:T]->(b {id: 3})", key="k")
+
+
 def test_batches(spark):
     e = Engine(from_rows(spark, [{"id": i, "labels": ["P"]} for i in (1, 2, 3)], [rel("T", 1, 2), rel("T", 1, 3, 1), rel("T", 1, 3, 2)]))
     run = lambda text, rows: e.write("UNWIND $rows AS row " + text, {"rows": rows})
@@ -175,12 +185,13 @@ def test_legs(spark):
     joined = inner_join(legs, "l", "k", "r", "k")
     assert joined.columns == ["l.id", "l.k", "r.id", "r.k"]
     assert sorted((r[0], r[2]) for r in joined.collect()) == [(1, 7), (2, 8)]  # NULL meets NULL
+    assert list(cheapest_first({"big": a.read(q), "none": a.read("MATCH (u:Absent) RETURN u.id AS id, u.k AS k LIMIT 0")})) == ["none", "big"]
     assert {k: v.count() for k, v in run_many({"a": a, "b": b}, q).items()} == {"a": 2, "b": 2}
     with pytest.raises(QueryError):
         union_all({"l": legs["l"], "x": a.read("MATCH (u:U) RETURN u.id AS other")})
 
 
-def test_statistics_and_digest(spark):
+def test_statistics_and_digest(spark, tmp_path):
     g = from_rows(spark, [{"id": 1, "labels": ["A", "B"], "x": 1}, {"id": 2, "labels": ["A"], "x": 1}, {"id": 3, "labels": []}], [rel("T", 1, 2, 1, w=1), rel("T", 1, 2, 2, w=1), rel("U", 1, 3)])
     assert {tuple(r) for r in stats.edge_type_counts(g).collect()} == {("T", 2, 1), ("U", 1, 1)}
     assert {tuple(r) for r in stats.label_counts(g).collect()} == {("A", 2), ("B", 1)}
@@ -189,6 +200,10 @@ def test_statistics_and_digest(spark):
     assert tuple(stats.summary(stats.edge_histogram(g, "T", "w")).first()) == (2, 1, 2)
     again = from_rows(spark, [], [rel("U", 1, 3), rel("T", 1, 2)])
     assert digest(g) == digest(again) and digest(g)["edges"] == 2
+    rows = {tuple(r) for r in stats.refresh(g, str(tmp_path)).collect()}
+    assert rows == {tuple(r) for r in stats.collected(g).collect()} and ("label", "A", 2) in rows and ("relationship_property", "w", 2) in rows
+    assert {tuple(r) for r in stats.refresh(g.replaced(vertices=g.vertices.limit(0)), str(tmp_path)).collect()} != rows
+    assert {tuple(r) for r in stats.refresh(g, str(tmp_path)).collect()} == rows
     broken = g.replaced(vertices=g.vertices.unionAll(g.vertices))
     assert verify(g).ok and not verify(broken).ok
 
