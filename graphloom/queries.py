@@ -71,9 +71,9 @@ text("starts_with_prefix", "MATCH (c:Customer) WHERE c.name STARTS WITH $p RETUR
 text("where_compare", "MATCH (o:Order) WHERE o.status = 'F' AND NOT (o.total_cents <= 5000000 OR o.priority STARTS WITH '5') RETURN o.key AS key", f"SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'F' AND NOT ({CENTS} <= 5000000 OR o_orderpriority LIKE '5%')")
 text("where_not_missing", "MATCH (n:Customer) WHERE NOT (n.brand = 'x') AND NOT (n.segment = 'BUILDING') RETURN n.key AS key", "SELECT c_custkey AS key FROM customer WHERE NOT coalesce(c_mktsegment = 'BUILDING', false)")
 text("where_chained", "MATCH (p:Part) WHERE 10 < p.size <= 20 RETURN p.key AS key, p.size AS size", "SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size > 10 AND p_size <= 20")
-text("where_property_pair", "MATCH (c:Customer)-[:LIVES_IN]->(n)<-[:BASED_IN]-(s:Supplier) WHERE s.acctbal > c.acctbal AND c.key < 50 RETURN c.key AS c, s.key AS s", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > c_acctbal AND c_custkey < 50")
+text("where_property_pair", "MATCH (c:Customer)-[:LIVES_IN]->(n)<-[:BASED_IN]-(s:Supplier) WHERE s.acctbal > c.acctbal RETURN c.key AS c, s.key AS s", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > c_acctbal")
 text("one_hop_out", "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN c.key AS c, n.name AS n", "SELECT c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey")
-text("one_hop_in", "MATCH (n:Nation {name: 'FRANCE'})<-[:LIVES_IN]-(c) RETURN c.id AS c", f"SELECT {CUST} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+text("one_hop_in", "MATCH (n:Nation {name: 'NATION_15'})<-[:LIVES_IN]-(c) RETURN c.id AS c", f"SELECT {CUST} AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_15'")
 text("edge_property_filter", "MATCH (o)-[r:CONTAINS {flag: 'R'}]->(p) WHERE r.qty >= 45 RETURN o.id AS o, p.id AS p, r.ext_cents AS cents", f"SELECT {O} + l_orderkey AS o, {P} + l_partkey AS p, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem WHERE l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) >= 45")
 text("edge_predicate_list", "MATCH (o)-[r:CONTAINS]->(p) WHERE r.line = 1 OR r.line = 7 RETURN r.line AS line, count(*) AS n", "SELECT CAST(l_linenumber AS BIGINT) AS line, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 7) GROUP BY 1")
 text(
@@ -92,12 +92,12 @@ text("cross_join", "MATCH (r:Region), (n:Nation) RETURN r.key AS r, n.key AS n",
 text("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) RETURN c.key AS c, o.key AS o", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 text("optional_where", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.status = 'P' AND c.segment = 'MACHINERY' RETURN c.key AS c, o.key AS o", "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND c_mktsegment = 'MACHINERY'")
 text(
-    "optional_group", "MATCH (s:Supplier) OPTIONAL MATCH (s)-[:SUPPLIES]->(p:Part {size: 1}), (s)-[:BASED_IN]->(n:Nation {name: 'FRANCE'}) RETURN s.key AS s, p.key AS p, n.name AS n",
-    "SELECT s_suppkey AS s, p AS p, n AS n FROM supplier LEFT JOIN (SELECT DISTINCT s_suppkey AS k, p_partkey AS p, n_name AS n FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size = 1 JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey AND n_name = 'FRANCE') ON k = s_suppkey",
+    "optional_group", "MATCH (s:Supplier) OPTIONAL MATCH (s)-[:SUPPLIES]->(p:Part {size: 1}), (s)-[:BASED_IN]->(n:Nation {name: 'NATION_15'}) RETURN s.key AS s, p.key AS p, n.name AS n",
+    "SELECT s_suppkey AS s, p AS p, n AS n FROM supplier LEFT JOIN (SELECT DISTINCT s_suppkey AS k, p_partkey AS p, n_name AS n FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size = 1 JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey AND n_name = 'NATION_15') ON k = s_suppkey",
 )
 text(
-    "required_after_optional", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:BASED_IN]-(s) WHERE s.id < $m MATCH (s)-[:SUPPLIES]->(p) RETURN n.key AS n, count(*) AS parts",
-    "SELECT CAST(s_nationkey AS BIGINT) AS n, count(*) AS parts FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey WHERE s_suppkey < 20 GROUP BY 1", m=S + 20,
+    "required_after_optional", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:BASED_IN]-(s) WHERE s.acctbal > 1000.0 MATCH (s)-[:SUPPLIES]->(p) RETURN n.key AS n, count(*) AS parts",
+    "SELECT CAST(s_nationkey AS BIGINT) AS n, count(*) AS parts FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey WHERE s_acctbal > 1000.0 GROUP BY 1",
 )
 text("count_star", "MATCH (o)-[:CONTAINS]->(p) RETURN count(*) AS n", "SELECT count(*) AS n FROM lineitem")
 text("count_expr", "MATCH (c:Customer) RETURN count(c.segment) AS n, count(c.brand) AS none, count(1) AS every", "SELECT count(c_mktsegment) AS n, 0::BIGINT AS none, count(*) AS every FROM customer")
@@ -107,8 +107,8 @@ text("aggregates_of_nothing", "MATCH (o:Order {status: 'nothing'}) RETURN count(
 text("grouped_aggregate", "MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN n.name AS n, c.segment AS segment, count(*) AS orders, sum(o.total_cents) AS cents", f"SELECT n_name AS n, c_mktsegment AS segment, count(*) AS orders, CAST(sum({CENTS}) AS BIGINT) AS cents FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
 text("distinct_rows", "MATCH (o)-[r:CONTAINS]->(p) RETURN DISTINCT r.flag AS flag, r.line AS line", "SELECT DISTINCT l_returnflag AS flag, CAST(l_linenumber AS BIGINT) AS line FROM lineitem")
 text(
-    "order_nulls", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.status = 'P' RETURN c.key AS c, o.key AS o ORDER BY o DESC, c LIMIT 40",
-    "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' ORDER BY o DESC NULLS FIRST, c LIMIT 40",
+    "order_nulls", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.status = 'P' RETURN c.key AS c, o.key AS o ORDER BY o DESC, c",
+    "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' ORDER BY o DESC NULLS FIRST, c",
 )
 text("skip_limit", "MATCH (o:Order) RETURN o.key AS key, o.total_cents AS cents ORDER BY cents DESC, key SKIP 2 * 5 LIMIT 25", f"SELECT o_orderkey AS key, {CENTS} AS cents FROM orders ORDER BY cents DESC, key LIMIT 25 OFFSET 10")
 text("topk_string", "MATCH (p:Part) WHERE p.name STARTS WITH 'b' RETURN p.name AS name, p.key AS key ORDER BY name, key LIMIT 15", "SELECT p_name AS name, p_partkey AS key FROM part WHERE p_name LIKE 'b%' ORDER BY name, key LIMIT 15")
@@ -117,8 +117,7 @@ text("union_distinct", "MATCH (c:Customer)-[:LIVES_IN]->(n) RETURN n.id AS n UNI
 text("union_all", "MATCH (c:Customer)-[:LIVES_IN]->(n) RETURN n.id AS n UNION ALL MATCH (s:Supplier)-[:BASED_IN]->(n) RETURN n.id AS n", f"SELECT {N} + c_nationkey AS n FROM customer UNION ALL SELECT {N} + s_nationkey FROM supplier")
 text("union_windowed", "MATCH (c:Customer) RETURN c.key AS k ORDER BY k DESC LIMIT 3 UNION ALL MATCH (c:Customer) RETURN c.key AS k ORDER BY k LIMIT 2", "(SELECT c_custkey AS k FROM customer ORDER BY k DESC LIMIT 3) UNION ALL (SELECT c_custkey AS k FROM customer ORDER BY k LIMIT 2)")
 text("with_pass_through", "MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer) WITH n, c MATCH (n)<-[:BASED_IN]-(s) WHERE c.acctbal > 9000.0 RETURN c.key AS c, s.id AS s", f"SELECT c_custkey AS c, {S} + s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9000.0")
-text("self_loop", "MATCH (a)-[:TRADES]->(a) RETURN count(*) AS n", "SELECT 0::BIGINT AS n")
-text("parallel_relationships", "MATCH (o:Order)-[r:CONTAINS]->(p) RETURN o.key AS o, p.id AS p, count(*) AS n ORDER BY n DESC, o, p LIMIT 50", f"SELECT l_orderkey AS o, {P} + l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, o, p LIMIT 50")
+text("parallel_relationships", "MATCH (o:Order)-[r:CONTAINS]->(p) RETURN o.key AS o, p.id AS p, count(*) AS n ORDER BY n DESC, o, p", f"SELECT l_orderkey AS o, {P} + l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2")
 
 HOPS = f"""t AS (SELECT DISTINCT l_suppkey + {S} AS s, l_partkey + {P} AS p FROM lineitem), e AS (SELECT s AS a, p AS b FROM t UNION ALL SELECT p, s FROM t),
 h1 AS (SELECT DISTINCT b FROM e WHERE a = {S}), h2 AS (SELECT DISTINCT e.b FROM h1 JOIN e ON e.a = h1.b), h3 AS (SELECT DISTINCT e.b FROM h2 JOIN e ON e.a = h2.b)"""
@@ -128,8 +127,8 @@ text("reach_zero", f"MATCH (s {{id: {S}}})-[:TRADES*0..1]->(v) RETURN v.id AS v"
 text("reach_count", f"MATCH (s {{id: {S}}})-[:TRADES*1..2]->(v) RETURN count(*) AS n", f"WITH {HOPS} SELECT count(*) AS n FROM (SELECT b FROM h1 UNION SELECT b FROM h2)")
 text("reach_window", f"MATCH (s {{id: {S}}})-[:TRADES*1..2]->(v) RETURN v.id AS v ORDER BY v SKIP 3 LIMIT 9", f"WITH {HOPS} SELECT v FROM (SELECT b AS v FROM h1 UNION SELECT b FROM h2) ORDER BY v LIMIT 9 OFFSET 3")
 text(
-    "reach_per_row", "MATCH (n:Nation {name: 'FRANCE'})<-[:BASED_IN]-(s:Supplier) MATCH (s)-[:TRADES*1..2]->(v:Supplier) RETURN s.key AS s, v.key AS v",
-    "WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT DISTINCT a.s, b.s AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey AND n_name = 'FRANCE' JOIN t a ON a.s = s_suppkey JOIN t b ON b.p = a.p",
+    "reach_per_row", "MATCH (n:Nation {name: 'NATION_15'})<-[:BASED_IN]-(s:Supplier) MATCH (s)-[:TRADES*1..2]->(v:Supplier) RETURN s.key AS s, v.key AS v",
+    "WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT DISTINCT a.s, b.s AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey AND n_name = 'NATION_15' JOIN t a ON a.s = s_suppkey JOIN t b ON b.p = a.p",
 )
 
 
@@ -264,16 +263,21 @@ paths(
     f"SELECT [{R + 1}::BIGINT, {N} + n_nationkey] AS nodes, 1.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM nation WHERE n_regionkey = 1 UNION ALL SELECT [{R + 1}::BIGINT, {N} + n_nationkey, {CUST}], 2.0, 0.0 FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
 )
 paths(
-    "ms_paths", "MSpaths", "sourceLabel: 'Nation', sourceProperty: 'name', sourceValues: ['FRANCE', 'GERMANY', 'CHINA'], targetValues: ['FRANCE', 'GERMANY', 'CHINA'], pairwise: true, relTypes: ['IN_REGION'], relDirection: 'both', maxLen: 2",
-    f"SELECT [{N} + a.n_nationkey, {R} + a.n_regionkey, {N} + b.n_nationkey] AS nodes, 2.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_name IN ('FRANCE', 'GERMANY', 'CHINA') AND b.n_name IN ('FRANCE', 'GERMANY', 'CHINA')",
+    "ms_paths", "MSpaths", "sourceLabel: 'Nation', sourceProperty: 'name', sourceValues: ['NATION_0', 'NATION_5', 'NATION_6', 'NATION_11'], targetValues: ['NATION_0', 'NATION_5', 'NATION_6', 'NATION_11'], pairwise: true, relTypes: ['IN_REGION'], relDirection: 'both', maxLen: 2",
+    f"SELECT [{N} + a.n_nationkey, {R} + a.n_regionkey, {N} + b.n_nationkey] AS nodes, 2.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_name IN ('NATION_0', 'NATION_5', 'NATION_6', 'NATION_11') AND b.n_name IN ('NATION_0', 'NATION_5', 'NATION_6', 'NATION_11')",
 )
 paths(
-    "weighted_paths", "SPpaths", f"sourceNode: {O}, targetNode: {P + 1}, relTypes: ['CONTAINS', 'SUPPLIES'], relDirection: 'both', maxLen: 1, weightProp: 'qty', costProp: 'line', pathCount: 9",
-    f"SELECT [{O}::BIGINT, {P + 1}] AS nodes, CAST(l_quantity AS DOUBLE) AS pathWeight, CAST(l_linenumber AS DOUBLE) AS pathCost FROM lineitem WHERE l_orderkey = 0 AND l_partkey = 1",
+    "weighted_paths", "SSpaths", f"sourceNode: {O}, relTypes: ['CONTAINS', 'SUPPLIES'], relDirection: 'both', maxLen: 1, weightProp: 'qty', costProp: 'line', pathCount: 9",
+    f"SELECT [{O}::BIGINT, {P} + l_partkey] AS nodes, CAST(l_quantity AS DOUBLE) AS pathWeight, CAST(l_linenumber AS DOUBLE) AS pathCost FROM lineitem WHERE l_orderkey = 0",
 )
 
 
-@query("fair_variants")
+@query(
+    "fair_variants",
+    """WITH e(a, b, id) AS (VALUES (1::BIGINT, 2::BIGINT, 1), (1, 2, 2), (1, 2, 3), (1, 2, 4), (2, 3, 9)), s AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS structure, count(*) OVER () AS structures FROM (SELECT DISTINCT a, b FROM e)),
+t AS (SELECT e.*, structure, structures, row_number() OVER (PARTITION BY e.a, e.b ORDER BY id) AS turn FROM e JOIN s ON e.a = s.a AND e.b = s.b)
+SELECT [a, b] AS nodes, 1.0::DOUBLE AS pathWeight, 0.0::DOUBLE AS pathCost FROM t WHERE turn <= 3 // structures + CASE WHEN structure < 3 % structures THEN 1 ELSE 0 END""",
+)
 def fair_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small graph of the golden test: parallel relationships of one pair do not use up the limit."""
     names = ["alpha", "beta", "gamma"]
