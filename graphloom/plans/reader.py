@@ -188,11 +188,9 @@ class Reader:
 
     def _vertices(self, n: Node, hydrate: bool) -> DataFrame:
         """Vertices that fit a node pattern, with the properties that the statement reads."""
-        df = self.graph.vertices
+        df = self.graph.labelled(n.labels)
         if n.id is not None:
             df = df.filter(F.col("id") == F.lit(n.id))
-        for label in n.labels:
-            df = df.filter(F.array_contains("labels", label))
         for name, value in n.props:
             df = df.filter(self.equals(self.graph.vertex_type(name), F.col(PREFIX + name) if self.graph.vertex_type(name) else None, value))
         return df.select(F.col("id").alias(f"{n.var}__id"), *self._props(n.var, self.graph.vertices, hydrate))

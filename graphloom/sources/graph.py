@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import QueryError
+from graphloom.storage import mark_text, read_text
 
 VERTEX = T.StructType([T.StructField("id", T.LongType()), T.StructField("labels", T.ArrayType(T.StringType()))])
 RELATIONSHIP = T.StructType([T.StructField("edge_type", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("src", "dst", "rel_id"))])
@@ -28,6 +30,8 @@ class Graph:
     version: int = 0
     #: Ends of long walks from one vertex, by (type, source, low, high): a snapshot does not change, so they hold while it lives.
     reached: dict[tuple, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    #: The vertices of a loaded snapshot with their folder, `label_set`, which prunes scans of a label.
+    by_label: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -53,13 +57,26 @@ class Graph:
     def replaced(self, vertices: DataFrame | None = None, relationships: DataFrame | None = None) -> Graph:
         return Graph(vertices if vertices is not None else self.vertices, relationships if relationships is not None else self.relationships, self.version + 1)
 
+    def labelled(self, labels: tuple[str, ...]) -> DataFrame:
+        """The vertices that have all of the labels."""
+        if not labels or self.by_label is None:
+            df = self.vertices
+        else:
+            df = self.by_label.filter(reduce(lambda a, b: a & b, (F.contains("label_set", F.lit(f"|{x}|")) for x in labels)))
+        for x in labels:
+            df = df.filter(F.array_contains("labels", x))
+        return df
+
     def save(self, path: str) -> None:
-        """Write this snapshot as path/v<version>: relationships by type, so that reads of a type prune the others."""
+        """Write this snapshot as path/v<version>: vertices by their set of labels and in order of ids, relationships by
+        type and in order of sources, so that reads prune other labels and types, and files of other ids."""
         base = f"{path.rstrip('/')}/v{self.version}"
-        self.vertices.write.parquet(f"{base}/vertices")
-        self.relationships.write.partitionBy("edge_type").parquet(f"{base}/relationships")
-        schema = self.spark.range(1).select(F.lit(self.relationships.schema.json()).alias("value"))
-        schema.write.text(f"{base}/schema")
+        v = self.vertices.withColumn("label_set", F.concat(F.lit("|"), F.array_join(F.array_sort("labels"), "|"), F.lit("|")))
+        v.repartitionByRange("label_set", "id").sortWithinPartitions("label_set", "id").write.partitionBy("label_set").parquet(f"{base}/vertices")
+        r = self.relationships.repartitionByRange("edge_type", "src").sortWithinPartitions("edge_type", "src", "dst")
+        r.write.partitionBy("edge_type").parquet(f"{base}/relationships")
+        schemas = json.dumps([self.vertices.schema.jsonValue(), self.relationships.schema.jsonValue()])
+        mark_text(self.spark, f"{base}/schema", schemas)
 
 
 def _type(df: DataFrame, name: str) -> T.DataType | None:
@@ -73,9 +90,13 @@ def empty(spark: SparkSession) -> Graph:
 def load(spark: SparkSession, path: str, version: int) -> Graph:
     """A snapshot that save() wrote; it never changes."""
     base = f"{path.rstrip('/')}/v{version}"
-    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{base}/schema").first()[0]))
-    relationships = spark.read.schema(schema).parquet(f"{base}/relationships")
-    return Graph(spark.read.parquet(f"{base}/vertices"), relationships.select(*schema.names), version)
+    kept = read_text(spark, f"{base}/schema")
+    if kept is None:
+        raise QueryError(f"there is no version {version} in {path}")
+    v, r = (T.StructType.fromJson(x) for x in json.loads(kept))
+    vertices = spark.read.schema(v.add("label_set", T.StringType())).parquet(f"{base}/vertices")
+    relationships = spark.read.schema(r).parquet(f"{base}/relationships")
+    return Graph(vertices.select(*v.names[:-1]), relationships.select(*r.names), version, by_label=vertices)
 
 
 def from_rows(spark: SparkSession, vertices: list[dict], relationships: list[dict]) -> Graph:

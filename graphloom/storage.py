@@ -22,9 +22,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; forget() removes it."""
+    return f"{scratch_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all tables that this application has written to the shared folder; results that read them end with that."""
+    _delete(spark, own_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: computed once, and safe when executors are lost."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,7 +50,7 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"graphloom_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(buckets, key)  # a file for each bucket, not one for each task and bucket
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{scratch_dir(spark)}/{table}").saveAsTable(table)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{own_dir(spark)}/{table}").saveAsTable(table)
     out = spark.table(table)
     out.schema  # noqa: B018  resolved now, for the name is given back at once; the files stay
     spark.sql(f"DROP TABLE {table}")
@@ -63,8 +78,5 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 def drop_written(df: DataFrame) -> None:
     """Remove the files behind a table made by written(), once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)

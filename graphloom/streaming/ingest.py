@@ -6,10 +6,10 @@ saved as the next version; a batch that is delivered again after a failure finds
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.errors import QueryError
 from graphloom.functions.stats import refresh
 from graphloom.operators.bulk import ingest
 from graphloom.sources.graph import Graph, load
@@ -25,7 +25,7 @@ def ingest_stream(changes: DataFrame, path: str, checkpoint: str, first: Graph,
     def saved(version: int) -> Graph | None:
         try:
             return load(spark, path, version)
-        except AnalysisException:
+        except QueryError:
             return None
 
     if saved(0) is None:

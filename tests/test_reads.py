@@ -261,3 +261,29 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "StringStartsWith(p_name,n1)" in plan and "GreaterThan(p_age,0)" in plan and "p_junk" not in plan
     top = formatted(e.read("MATCH (u:User) WHERE u.name STARTS WITH 'n' RETURN u.name AS n ORDER BY n LIMIT 2"))
     assert "TakeOrderedAndProject" in top
+
+
+def test_labels_and_types_prune_folders(spark, tmp_path):
+    g = from_rows(spark, [user(1, "User", a=1), user(2, "User", "Admin", a=2), user(3, "Post", a=3), {"id": 4, "labels": [], "a": 4}], [rel("T", 1, 2), rel("U", 1, 3)])
+    g.save(str(tmp_path))
+    from graphloom.sources.graph import load
+
+    e = Engine(load(spark, str(tmp_path), 0))
+    q = "MATCH (u:User) RETURN u.id AS i, u.a AS a ORDER BY i"
+    assert got(e, q) == [(1, 1), (2, 2)] and got(e, "MATCH (u:Admin:User) RETURN u.a") == [(2,)] and got(e, "MATCH (n {id: 4}) RETURN n.a") == [(4,)]
+    plan = formatted(e.read(q))
+    assert "PartitionFilters: [Contains(label_set" in plan or "PartitionFilters: [isnotnull(label_set" in plan
+    assert "isnotnull(edge_type" in formatted(e.read("MATCH (a)-[:T]->(b) RETURN b.id"))
+    e.write("MATCH (n {id: 4}) SET n:User")  # a written snapshot no longer reads the folders
+    assert got(e, q) == [(1, 1), (2, 2), (4, 4)]
+    with pytest.raises(QueryError):
+        load(spark, str(tmp_path), 1)
+
+
+def test_written_tables_go_together(spark):
+    from graphloom.storage import forget, own_dir, read_text, written
+
+    written(spark.range(3), "gone")
+    assert spark.read.parquet(own_dir(spark) + "/gone-*").count() == 3
+    forget(spark)
+    assert read_text(spark, own_dir(spark)) is None
