@@ -18,8 +18,9 @@ from graphloom.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, "__toxicity", "__toxic")
-    return scored.filter("__toxic = 0").select(*docs.columns)
+    free = "_" * (1 + max(map(len, docs.columns)))  # no column has it
+    scored = toxicity.score(docs, model, f"{free}score", f"{free}toxic")
+    return scored.filter(F.col(f"{free}toxic") == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
