@@ -32,6 +32,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole input table as it stands: nulls, repeated rows and further columns are left to the operators."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

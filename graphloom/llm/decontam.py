@@ -70,32 +70,6 @@ def word_windows(n: int) -> list[tuple[int, int]]:
     return [(m, word_budget(m))] if word_budget(m) else []
 
 
-def segments(text: str, size: int, step: int) -> list[tuple[int, int]]:
-    n = len(text)
-    if n <= size + step:
-        return [(0, n)]
-    return [*((s, s + size) for s in range(0, n - size, step)), (n - size, n)]
-
-
-def banded_distance(segment: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """Least edits between the segment and any piece of text, and where that piece ends; most + 1 if over.
-
-    Free ends in the text; `text` is the band, so it is little longer than the segment.
-    """
-    n = len(text)
-    row = np.zeros(n + 1, np.int64)
-    steps = np.arange(n + 1)
-    for i, c in enumerate(segment.tolist(), 1):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
-
-
 def window_distances(item: np.ndarray, starts: np.ndarray, length: int, text: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each window item[start : start + length] and any piece of text, and where that piece ends.
 
@@ -164,6 +138,7 @@ class Index:
         """(text, item) to the windows found, (length, place in item) to (edits, end in the text).
 
         units: texts one after another, with a gap of q units behind each; text_of: where each begins.
+        Empty texts find nothing; of equal edits the place that ends first is given; repeated texts find the same.
         """
         found: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]] = {}
         if len(units) < self.q or not len(self.keys):

@@ -75,9 +75,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: DataFrame | dict[st
     split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), NOT_WORD).alias("words"))
     found = written(split.select("doc_id", "row", *_words(vocabulary)), "license-words")
     per_row = _matches(found, tokens, notices, threshold).groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
-    out = found.join(per_row, "row", "left")
     places = {label: _places(phrase) for phrase, label in PHRASES.items()}
-    out = out.select("*", *(p.alias(f"at {label}") for label, p in places.items()))
+    out = found.select("doc_id", "row", "n_words", *(p.alias(f"at {label}") for label, p in places.items())).join(per_row, "row", "left")
     every = F.concat(*(F.col(f"`at {label}`") for label in places))
     base = F.array_compact(F.array(*(F.when(F.size(F.col(f"`at {label}`")) > 0, F.lit(label)) for label in places)))
     labels = F.array_distinct(F.concat(base, F.coalesce("added", F.array().cast("array<string>"))))

@@ -119,26 +119,29 @@ def _pack(capacity: int, last: bool):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000, shrink: int = 8) -> DataFrame:
     """Place every piece: sequence_id and offset, gapless from 0 in each sequence.
 
-    per_partition bounds the pieces of a task. Rounds: uncertified partitions' gapped bins are pooled,
-    about `shrink` partitions' worth at a time, until one partition is left or all are certified.
+    per_partition bounds the pieces of a task (on average: they are dealt by hash). Rounds: gapped
+    bins of uncertified partitions are pooled, about `shrink` partitions' worth at a time, more where
+    they need no more room, until one partition is left, all are certified, or there are no fewer.
     """
     spark = pieces.sparkSession
     count = pieces.count()
     parts, base, done = max(1, -(-count // per_partition)), 0, []
-    pool = pieces
+    pool, last = pieces, parts == 1
     while True:
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(parts)))
-        placed = dealt.groupBy("part").applyInPandas(_pack(capacity, parts == 1), PLACED)
+        placed = dealt.groupBy("part").applyInPandas(_pack(capacity, last), PLACED)
         placed = written(placed, "packed")
         done.append(placed.filter("final").withColumn("part", F.col("part") + base))
         base += parts
-        if parts == 1:
+        if last:
             break
         pool = placed.filter("not final").select(*pieces.columns)
         left = pool.count()
         if not left:
             break
-        parts = max(1, min(parts // shrink, -(-left // per_partition)))
+        fewer = max(1, -(-left // per_partition), parts // shrink)
+        last = fewer == 1 or fewer >= parts
+        parts = min(parts, fewer)
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)

@@ -93,7 +93,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) ->
 def links(reps: DataFrame, hot: int = 64) -> DataFrame:
     """(u, v): enough links between rep ids of reps(fp, rep) to connect all that differ in two bits or less.
 
-    Lists of at most `hot` members give every link; longer ones a star for each meeting point.
+    Lists of at most `hot` members give every link; longer ones a star for each meeting point. Without
+    nulls; one row for each fp, of which rep is the least doc_id, so that no two are equal.
     """
     masks = [signed(COUPLES[i] | COUPLES[j]) for i, j in combinations(range(4), 2)]
     keys = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(masks)])

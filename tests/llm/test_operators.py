@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import timeit
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -159,22 +161,6 @@ def test_top_k_of_repeated_ids(spark):
 # decontamination
 
 
-def brute_leaks(rows, items, rate=0.06, size=80, step=40):
-    out = set()
-    for d, t in rows:
-        norm = decontam.normalised(t or "")
-        for i, b in items:
-            b = decontam.normalised(b or "")
-            if not b:
-                continue
-            for s, e in decontam.segments(b, size, step) if len(b) >= decontam.Q else [(0, len(b))]:
-                seg = b[s:e]
-                k = decontam.budget(e - s, rate) if len(b) >= decontam.Q else 0
-                if seg in norm or k and decontam.banded_distance(decontam.codes(seg), decontam.codes(norm), k)[0] <= k:
-                    out.add((d, i))
-    return out
-
-
 def test_leaks(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("etaoin") for _ in range(rnd.randint(2, 7)))
@@ -193,7 +179,7 @@ def test_leaks(spark):
         rows.append((20 + n, f"{prose(20)}\n {typed(items[i][1], edits)}  {prose(20)}"))
     rows += [(40, items[1][1].upper()), (41, items[1][1][:170]), (42, items[0][1][:60]), (43, "x abc y"), (44, None), (45, ""), (46, items[0][1]), (46, items[0][1])]
     df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    want = brute_leaks(rows, items)
+    want = brute_passages(rows, items)
     for shard in (10**6, 200):
         assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, shard_chars=shard).collect()} == want
     clean = decontam.clean(df, bench)
@@ -224,6 +210,9 @@ def brute_passages(rows, items):
     for d, t in rows:
         for i, b in items:
             x, y = norm(b), norm(t)
+            if len(x) < 10:  # as it stands
+                out |= {(d, i)} if x and x in y else set()
+                continue
             size = {min(80, len(x)), len(x) if len(x) <= 120 else 80}
             w = min(13, len(x.split()))
             by_word = w >= 8 and holds_window(x.split(), y.split(), w, w // 6)
@@ -276,6 +265,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_sample_is_one_text_of_a_document(spark):
+    rnd = random.Random(9)
+    prose = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    plain = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    bad = [f"zq{i}xk" for i in range(12)]
+    rows = [(d, prose(plain + bad * 8 if d % 4 == 0 else plain, 80)) for d in range(400)]
+    labels = spark.createDataFrame([(d, int(d % 4 == 0)) for d in range(400)] + [(9_999, 1), (8, 0)], "doc_id long, toxic int")
+    once = toxicity.train(frame(spark, rows), labels)
+    again = toxicity.train(frame(spark, rows[::-1] + rows[:40] * 30), labels)  # order and repeats of rows change nothing
+    assert once == again and once.weights
+    few = toxicity.train(frame(spark, rows), labels, toxic_rows=30, other_rows=60)
+    assert few != once and toxicity.train(frame(spark, rows), labels, toxic_rows=30, other_rows=60) == few
+    with pytest.raises(ValueError):
+        toxicity.score(frame(spark, rows), once)
+    scored = toxicity.score(frame(spark, rows).drop("score"), once).collect()
+    by = {r.doc_id: r for r in scored}
+    held = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert sum(by[d].predicted == int(d % 4 == 0) for d in held) >= 0.95 * len(held)
+    # the score again from plain compression
+    plain_of, both_of = toxicity.lengths(once.ordinary), toxicity.lengths(once.both)
+    for d, t in rows[:12]:
+        w = (" " + " ".join(re.findall(r"\w+", t.lower())) + " ").encode()
+        saved = [plain_of(w[i : i + 80]) - both_of(w[i : i + 80]) for i in range(0, len(w), 64)]
+        tail = [(k, len(saved) * once.rates[n]) for n in range(1, 13) for k in [sum(x >= n for x in saved)]]
+        surprise = max([0, *(k * math.log(k / u) - k + u for k, u in tail if k > u)])
+        z = once.weights[0] + once.weights[1] * math.sqrt(surprise) + once.weights[2] * sum(saved) / math.sqrt(len(saved))
+        assert by[d].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (7, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
@@ -374,12 +392,12 @@ def brute_phrases(rows, length):
 
 def brute_bytes(rows, length):
     texts = [(d, (t or "").encode()) for d, t in rows]
-    seen = Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
+    seen = Counter(hash(b[i : i + length]) for _, b in texts for i in range(len(b) - length + 1))
     out = []
     for d, b in texts:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if seen[hash(b[i : i + length])] > 1:
                 gone[i : i + length] = True
         runs = int(np.count_nonzero(np.diff(gone, prepend=False) & gone))
         out.append((d, len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone])))
@@ -457,8 +475,12 @@ def test_counters_miss_no_large_gram(parts):
 
 
 def test_repeats_of_odd_rows(spark, odd, none):
-    assert phrase_dedup.remove_phrases(odd).count() == len(ODD) and suffix_dedup.remove_repeats(odd).count() == len(ODD)
+    got = [(r.doc_id, r.n_words, sum(x.end - x.start for x in r.spans), r.kept) for r in phrase_dedup.remove_phrases(odd).collect()]
+    assert Counter(got) == Counter(brute_phrases(ODD, 13))
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(odd).collect()]
+    assert Counter(got) == Counter(brute_bytes(ODD, 400))
     assert phrase_dedup.remove_phrases(none).count() == 0 and suffix_dedup.remove_repeats(none).count() == 0
+    assert suffix_dedup.without_repeats(none).count() == 0
 
 
 def test_deep_shallow_sorts():
@@ -553,6 +575,51 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+class Article(HTMLParser):
+    """The blocks of the article element: what stands in it between starts and ends of h1, p, li and the like."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks[-1] += " " if tag == "br" else ""
+        if tag in ("article", "h1", "h2", "p", "ul", "li", "div", "blockquote"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("article", "h1", "h2", "p", "ul", "li", "div", "blockquote"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_against_their_article_element(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: "\n\n".join(filter(None, (" ".join(x.split()) for x in Article(r.html).blocks))) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(pages).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()} and sum(map(len, want.values())) > 10_000
+
+
+@pytest.mark.parametrize("part", ['<a "', "<", "<div><p>", "<b>", '<a "> "', "</script ", "<p class=   ", "<b>x<hr>", "<body>x", "<li><b>x", "&am<b>p;"])
+def test_time_grows_with_the_page_alone(part):
+    def seconds(n):
+        html = part * (n // len(part))
+        return min(timeit.repeat(lambda: html_extract.main_text(html), number=1, repeat=2))
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.2  # four times as long; with the square it would be 16
+
+
+def test_references_do_not_run_over_markup():
+    assert html_extract.main_text("<p>&am<b>p;</b> &lt;x&gt; &amp;lt;</p>") == "&amp; <x> &lt;"
+
+
 def test_extraction_of_odd_rows(spark):
     rows = [(1, None, None), (None, "u", ARTICLE), (2, "u", "<p>" * 30_000 + "deep"), (2, "u", "<p>" * 30_000 + "deep"), (3, "u", "<" * 1000), (4, "u", "<div>" * 2000 + "x" + "</div>" * 2000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
