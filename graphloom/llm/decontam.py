@@ -10,6 +10,7 @@ are verified together by banded alignment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -294,12 +295,17 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, size: int,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int = 80, step: int = 40, shard_chars: int = 4_000_000) -> DataFrame:
-    """docs, all columns as they are, without the rows that hold a passage of an item (see contaminated)."""
+    """docs, all columns as they are, without the rows that hold a passage of an item (see contaminated).
+
+    With more than one shard of items, texts that hold one are named by a 64-bit hash, and rows with
+    such a text left out by a join: no task ever holds two indexes.
+    """
     ship(docs.sparkSession)
-    for items in _shards(benchmark, shard_chars):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
+    shards = list(_shards(benchmark, shard_chars))
+    if len(shards) == 1:
+        shipped = docs.sparkSession.sparkContext.broadcast(shards[0])
 
-        def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Benchmark(shipped.value, rate, size, step)
             for b in batches:
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
@@ -308,8 +314,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, size: int =
                     keep[i] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+        return docs.mapInArrow(work, docs.schema)
+    name = F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(name.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = reduce(lambda a, b: a.unionAll(b), (_scan(texts, items, rate, size, step) for items in shards)).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, name == bad["bad"], "left_anti")
 
 
 def _shards(benchmark: DataFrame, shard_chars: int) -> Iterator[list[tuple[int, str]]]:
