@@ -35,6 +35,7 @@ def nodes(rows):
     return [[n.id for n in r.path.nodes] for r in rows]
 
 
+# The small graphs of this test and the next two, whose paths are known.
 def test_unweighted_single_pair(spark):
     e = Engine(from_rows(spark, [{"id": 4, "labels": ["X"], "name": "four"}], [rel("R", a, b) for a, b in ((1, 2), (1, 3), (2, 4), (3, 5), (5, 4))]))
     q = lambda **c: e.rows(call("SPpaths", "path, pathWeight", sourceNode=1, targetNode=4, relTypes=["R"], maxLen=4, **c))

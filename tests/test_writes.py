@@ -25,6 +25,7 @@ def got(e, text, **params):
     return [tuple(r) for r in e.read(text, params).collect()]
 
 
+# Statements of the supported forms; graphs and results are small enough to see.
 def test_create_merge_and_parallel_relationships(spark):
     e = Engine(empty(spark))
     e.write("CREATE (a:User {id: 1, name: 'x'})-[:FOLLOWS {rank: 7}]->(b {id: 2})")
