@@ -53,7 +53,7 @@ def windows(norm: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
 def lengths(content: bytes):
     """A function from bytes to how many bytes they take under a dictionary, without any frame around them."""
     params = zstandard.ZstdCompressionParameters.from_level(
-        6, window_log=20, min_match=4, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        6, window_log=20, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compress = zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress
@@ -240,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, other_rows
 
 
 def score(docs: DataFrame, model: Model, score_column: str = "score", predicted_column: str = "predicted") -> DataFrame:
-    """docs with two more columns behind all its own; null texts count as empty."""
+    """docs with two more columns behind all its own, whose names must be new; null texts count as empty."""
+    if {score_column.lower(), predicted_column.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {score_column} or {predicted_column}")
     ship(docs.sparkSession)
     fields = [T.StructField(score_column, T.DoubleType()), T.StructField(predicted_column, T.IntegerType())]
 
