@@ -140,6 +140,18 @@ def next_id(g: Graph) -> int:
     return 0 if top is None else top + 1
 
 
+def _met(have: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of have, marked `#old`, beside those of new (keys named `#key`) that meet them, and the others of new alone.
+
+    A full outer join that leaves `have` where it lies if new is small: Spark then sends new to it, which it
+    cannot do in a full outer join.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"#{k}") for k in keys])
+    names = [f"#{k}" for k in keys]
+    there = have.select(*keys).join(new.select(*names), same, "left_semi").distinct().toDF(*names)
+    return have.withColumn("#old", F.lit(True)).join(new, same, "left").unionByName(new.join(there, names, "left_anti"), allowMissingColumns=True)
+
+
 def merge_vertices(g: Graph, new: DataFrame, guard: str | None = None, create_only: tuple[str, ...] = ()) -> tuple[Graph, Result]:
     """Upsert new(id, labels, p_* ...), one row per id: labels are united, properties overwritten.
 
@@ -152,7 +164,7 @@ def merge_vertices(g: Graph, new: DataFrame, guard: str | None = None, create_on
         v = with_property(v, f.name.removeprefix(PREFIX), f.dataType)
     _check_guard_type(v, new, guard)
     n = new.select(F.col("id").alias("#id"), F.col("labels").alias("#labels"), *[F.col(f.name).alias("#" + f.name) for f in props])
-    j = v.withColumn("#old", F.lit(True)).join(n, F.col("id") == F.col("#id"), "full_outer")
+    j = _met(v, n, ["id"])
     take = F.col("#id").isNotNull()
     if guard is not None:
         take &= F.coalesce(F.col("#old"), F.lit(False)).__invert__() | F.col(PREFIX + guard).isNull() | (F.col("#" + PREFIX + guard) > F.col(PREFIX + guard))
@@ -426,7 +438,7 @@ def upsert_relationships(g: Graph, new: DataFrame, guard: str | None = None, cre
     _check_guard_type(r, new, guard)
     keys = [*EDGE, "rel_id"]
     n = new.select(*[F.col(k).alias(f"#{k}") for k in keys], *[F.col(f.name).alias("#" + f.name) for f in props])
-    j = r.withColumn("#old", F.lit(True)).join(n, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"#{k}") for k in keys]), "full_outer")
+    j = _met(r, n, keys)
     take = F.col("#src").isNotNull()
     if guard is not None:
         take &= F.col("#old").isNull() | F.col(PREFIX + guard).isNull() | (F.col("#" + PREFIX + guard) > F.col(PREFIX + guard))

@@ -13,7 +13,7 @@ from graphloom.operators import bulk, points
 from graphloom.operators.legs import Leg, cheapest_first, inner_join, run_legs, run_many, union_all
 from graphloom.operators.mutate import Ledger
 from graphloom.operators.statements import CreateEdge, MatchEdge, MatchOut, MatchOutFiltered, MatchReachable
-from graphloom.sources.graph import empty, from_jsonl, from_rows, load
+from graphloom.sources.graph import empty, from_frames, from_jsonl, from_rows, load
 from graphloom.sources.sinks import iterate, json_body
 
 
@@ -116,6 +116,16 @@ def test_batches(spark):
             run(bad, [{"v": 1, "y": 2}])
 
 
+def test_a_small_write_leaves_the_table_where_it_is(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "array('P') as labels", "id as p_x").write.parquet(str(tmp_path / "v"))
+    e = Engine(from_frames(spark.read.parquet(str(tmp_path / "v")), empty(spark).relationships))
+    r = e.write("UNWIND $rows AS row MERGE (n {id: row.i}) SET n.x = row.x", {"rows": [{"i": 5, "x": 7}, {"i": 9, "x": 9}, {"i": 30_000, "x": 1}]})
+    assert (r.created, r.updated, r.noops) == (1, 1, 1) and e.graph.vertices.count() == 20_001
+    assert got(e, "MATCH (n {id: 5}) RETURN n.x") == [(7,)] and got(e, "MATCH (n {id: 30000}) RETURN n.x") == [(1,)] and got(e, "MATCH (n {id: 6}) RETURN n.x") == [(6,)]
+    plan = e.graph.vertices._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FullOuter" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_guarded_batches(spark):
     e = Engine(from_rows(spark, [{"id": 1, "labels": ["P"], "ver": 5, "p": "old", "born": "a"}, {"id": 2, "labels": ["P"], "p": "no guard"}], []))
     text = "UNWIND $rows AS row MERGE (n {id: row.v}) SET n:P, n.ver = row.ver, n.p = row.p, n.born = row.born, n.__update_if_newer_by = 'ver', n.__create_only_born = true"
