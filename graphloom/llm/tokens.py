@@ -49,7 +49,7 @@ class Encoder:
     def __init__(self, path: str):
         self.exact = Tokenizer.from_file(path)
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.lexer = lexer(self.special)
+        self.lexer, self.plain = lexer(self.special), lexer([])
         #: A pre-token that ends at e was decided by characters before e + lookahead.
         self.lookahead = max([2, *map(len, self.special)])
         ranks = path.removesuffix(".json") + ".tiktoken"
@@ -60,8 +60,11 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         self.counts: dict[str, int] = {}
 
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or self.odd.search(text) or any(s in text for s in self.special):
+        if self.fast is None or self.odd.search(text) or self.has_special(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -80,7 +83,9 @@ class SegmentTree:
 
     def __init__(self, text: str, encoder: Encoder, leaf: int = 64):
         self.encoder, self.leaf = encoder, leaf
-        pieces = encoder.lexer.findall(text)
+        # texts without special tokens are lexed faster, until an edit puts one in
+        self.lexer = encoder.lexer if encoder.has_special(text) else encoder.plain
+        pieces = self.lexer.findall(text)
         counts = encoder.count(pieces)
         self.leaves = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
@@ -145,6 +150,13 @@ class SegmentTree:
         old = self.leaves[first][keep:]
         for i in range(first + 1, last + 1):
             old = old + self.leaves[i]
+        if self.lexer is self.encoder.plain:
+            around = "".join(old)  # longer than a special token on both sides of the edit, or to the text's ends
+            if self.encoder.has_special(around[: start - begin] + new + around[end - begin :] + self._ahead(last)):
+                encoded, text = self.encoded, self.text()
+                self.__init__(text[:start] + new + text[end:], self.encoder, self.leaf)
+                self.encoded = encoded + self.length
+                return
         fresh, last = self._relex(old, begin, start, end, new, last)
         self.leaves[first] = self.leaves[first][:keep] + fresh
         for i in range(first + 1, last + 1):
@@ -175,7 +187,7 @@ class SegmentTree:
                 bounds[pos] = k
                 pos += len(p)
             fresh, at = [], 0
-            for m in self.encoder.lexer.finditer(edited + ahead):
+            for m in self.lexer.finditer(edited + ahead):
                 if m.start() >= len(edited):
                     break
                 was = begin + m.start() - shift
