@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Where that is unset a master that runs in this process (local or local[n], as in tests) gets a folder below
-    spark.sql.warehouse.dir; on a cluster it is an error, since no folder of one machine will do.
+    Where that is unset, a master of one process (local, local[n], as in tests) gets a temporary
+    folder; on a cluster it is an error, since no folder of one machine will do.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/graphloom-checkpoints"
+        shared = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
 
