@@ -120,6 +120,8 @@ class Bytes:
     """Units are the UTF-8 bytes of a text."""
 
     def __init__(self, length: int, q: int = 32):
+        while q > length:
+            q //= 2
         self.length, self.q = length, q
 
     def chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +139,8 @@ class Words:
     """Units are words between white space, as they stand."""
 
     def __init__(self, length: int, q: int = 4):
+        while q > length:
+            q //= 2
         self.length, self.q = length, q
 
     def chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,7 +315,8 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable,
         whole = counts.join(of, "g").groupBy("whole").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         whole = F.broadcast(of.join(whole, "whole").select(F.col("g").alias("part"), *(F.col(c).alias(f"all_{c}") for c in ("n", "texts", "lo", "hi"))))
         counts = counts.join(whole, F.col("g") == F.col("part"), "left").select("g", *(F.coalesce(f"all_{c}", c).alias(c) for c in ("n", "texts", "lo", "hi")))
-    often = counts.filter(recurs(F.col("n"), F.col("lo"), F.col("hi"))).select("g", ((F.col("texts") > hot) | (F.col("n") > 8 * hot)).alias("hot"))
+    used = F.col("lo") <= F.col("hi")  # always; it keeps the key among the columns of this use
+    often = counts.filter(recurs(F.col("n"), F.col("lo"), F.col("hi")) & used).select("g", ((F.col("texts") > hot) | (F.col("n") > 8 * hot)).alias("hot"))
     hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot", "n")).alias("gs"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:

@@ -431,6 +431,12 @@ def test_repeated_windows(spark, hot):
     assert Counter(got) == Counter(brute_bytes(rows, 60))
 
 
+def test_windows_shorter_than_a_gram(spark):
+    rows = some_copies(2)
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows), 20).collect()]
+    assert Counter(got) == Counter(brute_bytes(rows, 20))
+
+
 def test_rows_without_repeats(spark):
     rows = [(1, "x" + "abcdé" * 30 + "left"), (2, "abcdé" * 30), (3, None), (4, "alone")]
     out = suffix_dedup.without_repeats(frame(spark, rows), 60, whole=60)
