@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,8 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """written(), in buckets of `key`, so that joins on it do not move the table again."""
+    """written(), in buckets of `key`, so that joins on it do not move the table again.
+
+    Buckets need a catalog; where its folder cannot be made, the table is written without them.
+    """
     spark = df.sparkSession
+    if not _writable(spark, spark.conf.get("spark.sql.warehouse.dir")):
+        return written(df, name)
     table = f"graphloom_{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(buckets, key)  # a file for each bucket, not one for each task and bucket
@@ -60,6 +66,15 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def _writable(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder is there or can be made."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    except Py4JJavaError:
+        return False
+
+
 def mark_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small text as one file at a Hadoop path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -187,3 +187,19 @@ def test_bfs_of_two_starts(spark):
     edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), *((42, x) for x in range(10, 17))]
     out = bfs(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(1,), (42,)], "id long"), 3)
     assert sorted(r.v for r in out.collect()) == [2, 3, 4, 5, 6, *range(10, 17)]
+
+
+def test_adjacency_is_moved_once(spark, monkeypatch):
+    from graphloom import storage
+
+    edges = spark.range(3_000).selectExpr("id % 97 as src", "(id * 31 + 7) % 89 as dst").distinct()
+    starts = spark.createDataFrame([(i,) for i in range(20)], "origin long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reach(edges, starts, 1, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("SelectedBucketsCount") >= 3
+        want = {tuple(r) for r in reach(edges, starts, 2, 4).collect()}
+        monkeypatch.setattr(storage, "_writable", lambda spark, folder: False)
+        assert {tuple(r) for r in reach(edges, starts, 2, 4).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
