@@ -1,8 +1,8 @@
 """A corpus pipeline: toxic texts and near copies go, repeated passages are cut, benchmark leaks go, the rest is packed.
 
 Each stage takes all that the one before has kept and returns the columns of documents, the last
-one its pieces. Null texts count as empty; rows with a null doc_id pass through the stages that
-compare documents by id; an empty table stays one.
+one its pieces. Null texts count as empty; rows with a null doc_id are near copies of nothing, and
+where passages are cut they come behind all other rows; an empty table stays one.
 """
 
 from __future__ import annotations
