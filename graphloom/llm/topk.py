@@ -1,11 +1,11 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
-Vectors become integers and are dealt into shards. A shard keeps a posting list for each component,
-cut into segments by quantised size of the values. A query orders all segments by descending
-quantised impact (its component's size times the segment's largest value) and adds one segment after
-the other to its accumulators. After each impact level two bounds hold for what a row can still gain:
-the impacts of the unread segments, and the norms of the query's and of the row's unread part. Reading
-stops only when these prove that few rows can be among the k best; those are then scored exactly.
+Vectors become integers and are dealt into shards. A shard keeps posting lists of rows and values,
+one for each component and level of quantised impact (the size of the value). For a block of queries
+the levels are read in descending order; each posting adds its part to the accumulators of its row.
+After a level, what a row can still gain is bounded by the norms of the query and of the row's unread
+postings. Reading stops for a query only when these bounds prove that few rows can be among its k
+best; those are then scored exactly.
 """
 
 from __future__ import annotations
@@ -39,66 +39,47 @@ class Shard:
         copy = at - np.maximum.accumulate(np.where(fresh, at, 0))
         keep = (nth - np.maximum.accumulate(np.where(new, nth, 0)) <= k) & (copy < k)
         self.ids, self.values = ids[keep], values[keep].astype(np.float64)
-        self.squares = (self.values * self.values).sum(1)
-        # postings: (component, level) segments of rows and values; level j holds sizes in (top / 2**(j + 1), top / 2**j]
         size = np.abs(self.values)
         top = size.max(initial=1)
+        # level j holds sizes in (top / 2**(j + 1), top / 2**j], the last one all that are smaller; zeros have no posting
         with np.errstate(divide="ignore"):
             level = np.minimum(np.floor(np.log2(top / size)), levels - 1)
-        rows, parts = np.nonzero(size)
-        name = parts * levels + level[rows, parts].astype(np.int64)
-        order = np.argsort(name, kind="stable")
-        self.rows, self.posted = rows[order], self.values[rows, parts][order]
-        self.names, self.starts = np.unique(name[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(order))
-        self.parts = self.names // levels
-        self.largest = np.maximum.reduceat(np.abs(self.posted), self.starts) if len(order) else np.array([])
-
-    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        level[size == 0] = levels
+        #: Levels in descending order: lists of (component, rows, values), and the norm of what is then unread of each row.
+        self.levels: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
+        for j in range(levels):
+            lists = [(c, rows, self.values[rows, c]) for c in range(size.shape[1]) if len(rows := np.flatnonzero(level[:, c] == j))]
+            left = np.where(level > j, self.values, 0.0)
+            self.levels.append((lists, np.sqrt((left * left).sum(1))))
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 512, block: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of a superset of each query's k best rows of this shard, rows of its own id left out."""
-        for own, q in zip(q_ids.tolist(), queries.astype(np.float64)):
-            other = self.ids != own
-            possible = self._possible(q, other, k, max(few, 2 * k))
-            yield own, self.ids[possible], np.rint(self.values[possible] @ q).astype(np.int64)
+        for s in range(0, len(q_ids), block):
+            yield from self._block(q_ids[s : s + block], queries[s : s + block].astype(np.float64), k, max(few, 2 * k))
 
-    def _possible(self, q: np.ndarray, other: np.ndarray, k: int, few: int) -> np.ndarray:
-        """Rows of `other` that no proof keeps from the k best; at most `few` of them, or all segments were read."""
+    def _block(self, q_ids: np.ndarray, q: np.ndarray, k: int, few: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        if np.count_nonzero(other) <= few:
-            return np.flatnonzero(other)
-        impact = np.abs(q)[self.parts] * self.largest
-        live = np.flatnonzero(impact)
-        if not len(live):
-            return np.flatnonzero(other)
-        grade = np.floor(-2 * np.log2(impact[live] / impact.max())).astype(np.int64)  # two levels to each halving
-        order = live[np.argsort(grade, kind="stable")]
-        grade = np.sort(grade)
-        acc, unread = np.zeros(n), self.squares.copy()
-        # a row has one posting of a component, so the largest unread impact of each component is what it can gain
-        gain = np.zeros(len(q))
-        np.maximum.at(gain, self.parts[live], impact[live])
-        pending = {int(p): impact[(self.parts == p)].tolist() for p in np.unique(self.parts[live])}
-        cuts = np.flatnonzero(np.diff(grade)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
-            for s in order[a:b].tolist():
-                rows, values = self.rows[self.starts[s] : self.ends[s]], self.posted[self.starts[s] : self.ends[s]]
-                acc[rows] += q[self.parts[s]] * values
-                unread[rows] -= values * values
-                left = pending[int(self.parts[s])]
-                left.remove(impact[s])
-                gain[self.parts[s]] = max(left, default=0.0)
-            if b == len(order):
-                break
-            open_ = gain > 0
-            by_norm = math.sqrt(float((q[open_] ** 2).sum())) * np.sqrt(unread)
-            more = np.minimum(by_norm, gain.sum()) * (1 + 1e-12) + 1e-6
-            # rows of the query's own id are no results, so their bounds prove nothing
-            floor = np.partition(np.where(other, acc - more, -math.inf), n - k)[n - k]
-            possible = np.flatnonzero(other & (acc + more >= floor))
-            if len(possible) <= few:
-                return possible
-        floor = np.partition(np.where(other, acc, -math.inf), n - k)[n - k]
-        return np.flatnonzero(other & (acc >= floor))
+        norms = np.sqrt((q * q).sum(1))
+        other = self.ids[:, None] != q_ids  # rows of the query's own id are no results, so their bounds prove nothing
+        acc = np.zeros((n, len(q_ids)))
+        for at, (lists, rest) in enumerate(self.levels):
+            for c, rows, values in lists:
+                acc[rows] += values[:, None] * q[:, c]
+            gain = rest[:, None] * (norms * (1 + 1e-12)) + 1e-6
+            low = np.where(other, acc - gain, -math.inf).T.copy()  # a row for each query: partition() reads it in order
+            floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q_ids), -math.inf)
+            possible = other & (acc + gain >= floor)
+            done = possible.sum(0) <= few
+            if at == len(self.levels) - 1:
+                done[:] = True
+            for j in np.flatnonzero(done).tolist():
+                rows = np.flatnonzero(possible[:, j])
+                yield int(q_ids[j]), self.ids[rows], np.rint(self.values[rows] @ q[j]).astype(np.int64)
+            if done.all():
+                return
+            if done.any():  # kept row by row: selecting columns would turn the layout around
+                q_ids, q, norms = q_ids[~done], q[~done], norms[~done]
+                other, acc = np.ascontiguousarray(other[:, ~done]), np.ascontiguousarray(acc[:, ~done])
 
 
 def top_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
