@@ -135,9 +135,10 @@ def by_novelty(toxic: list[bytes], ordinary: list[bytes], size: int = 65_536, gr
 
     def grams(t: bytes) -> np.ndarray:
         x = np.frombuffer(t, np.uint8).astype(np.uint64)
-        h = np.zeros(max(0, len(x) - gram + 1), np.uint64)
+        n = max(0, len(x) - gram + 1)  # a text shorter than a gram has none
+        h = np.zeros(n, np.uint64)
         for i in range(gram):
-            h = h * U(257) + x[i : len(x) - gram + 1 + i] + U(1)
+            h = h * U(257) + x[i : i + n] + U(1)
         return mix(h)
 
     every, counts = np.unique(np.concatenate([np.unique(grams(t)) for t in ordinary]), return_counts=True)

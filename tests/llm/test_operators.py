@@ -303,6 +303,19 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("short", ["", "a", "hi", "abc", "\u00e4\u00f6", "abcd", "abcde", "..."])
+def test_toxicity_learns_beside_texts_shorter_than_a_gram(short):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = [(" ".join(rng.choices(words, k=60) + ["vileslur horridinsult"] * 3 * y), y) for y in [0, 1, 0, 0] * 40]
+    totals = {0: 122, 1: 42}
+    with_short = toxicity.fit([(short, 0), (short, 1), *rows, (short, 0), (short, 1)], totals)
+    scorer = toxicity.Scorer(with_short)
+    assert with_short.weights and 0 <= scorer.score(short) <= 1
+    right = [(scorer.score(t) >= 0.5) == y for t, y in rows]
+    assert sum(right) > 0.95 * len(right)
+
+
 # near duplicates
 
 
