@@ -109,7 +109,7 @@ def remove_phrases(docs: DataFrame, length: int = 13, hot: int = 20_000) -> Data
     """
     source = documents(docs)
     d = keyed(source, F.coalesce("doc_id", F.xxhash64("text")))
-    spans = recurring_spans(source, d, Words(length), _kernel(length), lambda n, lo, hi: lo < hi, hot, by_document=True)
+    spans = recurring_spans(source, d, (Words(length),), _kernel(length), (lambda n, lo, hi: lo < hi,), hot, by_document=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -55,10 +55,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every row of documents in strings of 400 bytes that start anywhere else; null texts are empty, repeated rows repeat each other."""
-    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    """Bytes of every row of documents in strings of 400 bytes that start anywhere else; null texts are empty, repeated rows repeat each other.
+
+    n_passage_words tells of passages of over 50 words that other documents have too, also where they have fewer bytes; they are not removed.
+    """
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), words=51)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return kept.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ are counted once, and a kernel decides for the distinct regions of a gram which
 so frequent that their regions should not meet in one task take another exact way: one row for each
 window, counted by content.
 
+Two kinds of windows, of bytes and of words, can be looked for at once: the last bit of a gram says
+which it is of, and spans of the second kind go under the complement of the text's hash.
+
 Texts are shuffled once, and so are the grams of each text: both uses of an exchange share it. Grams
 that hold more than their share of all rows are found beforehand, by counters that miss none of
 them, and their rows are dealt over several partitions.
@@ -197,6 +200,13 @@ def runs_of(kind, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray,
                 yield group[t[i]], a[i:j], b[i:j], p[i:j], g[i:j]
 
 
+def runs_of_kinds(kinds: tuple, texts: list[bytes | None]) -> Iterator[tuple]:
+    """(number of the kind, and what runs_of gives): with two kinds the last bit of a gram is that number."""
+    for k, kind in enumerate(kinds):
+        for i, a, b, p, g in runs_of(kind, texts):
+            yield k, i, a, b, p, g if len(kinds) == 1 else (g & ~U(1)) | U(k)
+
+
 def _raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -246,7 +256,8 @@ class Shares:
 
     @staticmethod
     def _name(g: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return mix(g.view(np.uint64) ^ mix(part + U(1))).view(np.int64)
+        g = g.view(np.uint64)
+        return ((mix(g ^ mix(part + U(1))) & ~U(1)) | (g & U(1))).view(np.int64)  # the last bit says the kind
 
     def dealt(self, g: np.ndarray, key: int) -> np.ndarray:
         """The names under which a text of this key counts its grams: most grams are their own name."""
@@ -259,7 +270,7 @@ class Shares:
         return out
 
 
-def shares(docs: DataFrame, kind) -> Shares:
+def shares(docs: DataFrame, kinds: tuple) -> Shares:
     """Counts the grams of docs(doc_id, text) in bounded counters; what they say decides places of rows, no result."""
     n = partitions(docs.sparkSession)
     size = 16 * n
@@ -267,7 +278,7 @@ def shares(docs: DataFrame, kind) -> Shares:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counters(size)
         for b in batches:
-            found = [g.view(np.int64) for _, _, _, _, g in runs_of(kind, _raw(b.column(0)))]
+            found = [g.view(np.int64) for *_, g in runs_of_kinds(kinds, _raw(b.column(0)))]
             if found:
                 held.add(*np.unique(np.concatenate(found), return_counts=True))
         yield pa.RecordBatch.from_arrays([pa.array([None, *held.g.tolist()], pa.int64()), pa.array([held.total, *held.n.tolist()], pa.int64())], SHARES.names)
@@ -279,14 +290,19 @@ def shares(docs: DataFrame, kind) -> Shares:
     return Shares({g: n + total // size for g, n in rows.items()}, total, n)
 
 
-def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable, recurs: Callable[[Column, Column, Column], Column], hot: int, by_document: bool) -> DataFrame:
+Recurs = Callable[[Column, Column, Column], Column]
+
+
+def recurring_spans(source: DataFrame, docs: DataFrame, kinds: tuple, kernel: Callable, recurs: tuple[Recurs, ...], hot: int, by_document: bool) -> DataFrame:
     """(key, spans): for texts with recurring windows, all of (th, first window, last window, least doc_id, starts).
 
     Windows count from each of `starts` (see starts_of): what a text repeats is one row.
 
-    docs: from keyed(), of the texts of `source`. recurs(count, least, largest) says whether what
-    occurs so often, in documents from the least to the largest doc_id (of grams: key), recurs.
+    docs: from keyed(), of the texts of `source`. kinds: one of Bytes and Words, or two. For each of
+    them recurs(count, least, largest) says whether what occurs so often, in documents from the least
+    to the largest doc_id (of grams: key), recurs.
     kernel(batches of REGIONS sorted by route and region) gives SPANS.
+    Regions and spans of the second kind have ~th for th.
     by_document: the key is the doc_id, recurring means in two documents, and rows without a doc_id
     take no part. Rows of a gram are counted and joined where they lie; those of a gram with more than
     its share lie under several names, whose counts are put together.
@@ -294,12 +310,16 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable,
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    large = shares(source, kind)
+    large = shares(source, kinds)
+
+    def either(tag: str, *what: Column) -> Column:
+        found = [r(*what) for r in recurs]
+        return found[0] if len(kinds) == 1 else F.when(F.col(tag).bitwiseAND(F.lit(1)) == 0, found[0]).otherwise(found[1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, ids = b.column(2).to_numpy(zero_copy_only=False), b.column(0)
-            out = [(i, *np.unique(g.view(np.int64), return_counts=True)) for i, _, _, _, g in runs_of(kind, _raw(b.column(1)))]
+            out = [(i, *np.unique(g.view(np.int64), return_counts=True)) for _, i, _, _, _, g in runs_of_kinds(kinds, _raw(b.column(1)))]
             if by_document:
                 known = ids.is_valid()
                 out = [x for x in out if known[x[0]].as_py()]
@@ -316,26 +336,28 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable,
         whole = F.broadcast(of.join(whole, "whole").select(F.col("g").alias("part"), *(F.col(c).alias(f"all_{c}") for c in ("n", "texts", "lo", "hi"))))
         counts = counts.join(whole, F.col("g") == F.col("part"), "left").select("g", *(F.coalesce(f"all_{c}", c).alias(c) for c in ("n", "texts", "lo", "hi")))
     used = F.col("lo") <= F.col("hi")  # always; it keeps the key among the columns of this use
-    often = counts.filter(recurs(F.col("n"), F.col("lo"), F.col("hi")) & used).select("g", ((F.col("texts") > hot) | (F.col("n") > 8 * hot)).alias("hot"))
+    often = counts.filter(either("g", F.col("n"), F.col("lo"), F.col("hi")) & used).select("g", ((F.col("texts") > hot) | (F.col("n") > 8 * hot)).alias("hot"))
     hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot", "n")).alias("gs"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:
-        """(key, th, doc_id, units, first windows, last windows, anchors, grams) of texts, for their wanted grams."""
+        """(kind's number, key, th, doc_id, units, first windows, last windows, anchors, grams) of texts, for their wanted grams."""
         for b in batches:
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             texts = _raw(col["text"])
-            for i, a, z, p, g in runs_of(kind, texts):
+            for k, i, a, z, p, g in runs_of_kinds(kinds, texts):
                 want = [x["g"] for x in col["gs"][i].as_py() if x["hot"] == often]
                 signed, key = g.view(np.int64), col["key"][i].as_py()
                 take = np.isin(large.dealt(signed, key), np.array(want, np.int64))
                 if take.any():
                     found = (x[take].tolist() for x in (a, z, p, signed))
-                    yield key, col["th"][i].as_py(), col["doc_id"][i].as_py(), kind.split(texts[i]), *found
+                    th = col["th"][i].as_py()
+                    yield k, key, ~th if k else th, col["doc_id"][i].as_py(), kinds[k].split(texts[i]), *found
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        for key, th, doc, units, *found in wanted(batches, False):
+        for k, key, th, doc, units, *found in wanted(batches, False):
+            kind = kinds[k]
             mine: dict[tuple, list[int]] = {}
             for lo, hi, at, gram in zip(*found):
                 region = kind.join(units[lo : hi + kind.length])
@@ -351,11 +373,13 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable,
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for key, th, doc, units, *found in wanted(batches, True):
+        for k, key, th, doc, units, *found in wanted(batches, True):
+            kind = kinds[k]
             mine: dict[int, list[int]] = {}
             for lo, hi, _, _ in zip(*found):
                 for w in range(lo, hi + 1):
-                    mine.setdefault(xxhash.xxh3_128_intdigest(kind.join(units[w : w + kind.length])), []).append(w)
+                    h = xxhash.xxh3_128_intdigest(kind.join(units[w : w + kind.length]))
+                    mine.setdefault(h if len(kinds) == 1 else (h & ~1) | k, []).append(w)
                 if len(out) + len(mine) > 50_000:
                     yield batch([*out, *((key, th, doc, *halves(h), len(s), packed(s)) for h, s in mine.items())], WINDOWS)
                     out = []
@@ -373,7 +397,7 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kind, kernel: Callable,
     cold = regions.mapInArrow(kernel, SPANS)
     windows = texts(True).mapInArrow(every, WINDOWS)
     common = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    common = common.filter(recurs(F.col("n"), F.col("first"), F.col("last"))).select("h1", "h2", "first")
+    common = common.filter(either("h1", F.col("n"), F.col("first"), F.col("last"))).select("h1", "h2", "first")
     # joined on one more key, so that both sides get an exchange of their own: adaptive execution splits only such
     both = F.col("h1").bitwiseXOR(F.col("h2"))
     warm = windows.withColumn("h", both).join(common.withColumn("h", both), ["h", "h1", "h2"]).select("key", "th", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "first", "starts")
@@ -408,12 +432,12 @@ def batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 
 class Region:
-    """A distinct region of a gram: its bytes, anchor, and the texts (key, th, doc_id, packed starts) where it stands, `n` times in all."""
+    """A distinct region of a gram: its bytes, anchor, route, and the texts (key, th, doc_id, packed starts) where it stands, `n` times in all."""
 
-    __slots__ = ("text", "at", "places", "n")
+    __slots__ = ("text", "at", "route", "places", "n")
 
-    def __init__(self, text: bytes, at: int):
-        self.text, self.at, self.places, self.n = text, at, [], 0
+    def __init__(self, text: bytes, at: int, route: int):
+        self.text, self.at, self.route, self.places, self.n = text, at, route, [], 0
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Region]]:
@@ -426,7 +450,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Region]]:
                     yield held
                 route, held = r, []
             if not held or held[-1].text != region:
-                held.append(Region(region, at))
+                held.append(Region(region, at, r))
             held[-1].places.append((key, th, doc, starts))
             held[-1].n += len(starts) // 4
     if held:

@@ -4,6 +4,7 @@ The regions around a recurring gram (see recur) are sorted as suffixes by deep-s
 multikey quicksort to a shallow depth, then blind tries for the groups that agree so far. Sorted
 from the anchor to the right, and reversed from the anchor to the left, the common prefixes of
 neighbours tell how far any two regions agree on both sides, and so which windows they share.
+Passages of so many words, which may have fewer bytes, are looked for in the same run; they are counted, not removed.
 
 remove_repeats() takes out every place of a repeated string; without_repeats(), for corpora, leaves
 the one in the earliest document.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .recur import SPANS, Bytes, batch, groups, keyed, merged, recurring_spans, windows_of
+from .recur import SPANS, Bytes, Region, Words, batch, groups, keyed, merged, recurring_spans, windows_of
 
 SHALLOW, STEP = 32, 8
 WHITE = b" \t\n\x0b\x0c\r"
@@ -179,12 +180,39 @@ def shared_windows(regions: list[tuple[bytes, int, int, int]], length: int, firs
     return out
 
 
-def _kernel(length: int, firsts: bool):
+def shared_passages(group: list[Region], words: int) -> list[list[tuple[int, int, int]]]:
+    """For each distinct region of words the ranges of its windows that stand in documents of two doc_ids."""
+    docs = [[doc for _, _, doc, _ in r.places if doc is not None] for r in group]
+    low: dict[bytes, int] = {}
+    high: dict[bytes, int] = {}
+    if len({doc for ids in docs for doc in ids}) < 2:
+        return [[] for _ in group]
+    numbers: dict[bytes, int] = {}
+    windows = []
+    for region, ids in zip(group, docs):
+        raw = np.array([numbers.setdefault(w, len(numbers)) for w in region.text.split(b" ")], np.int32).tobytes()
+        windows.append([raw[i : i + 4 * words] for i in range(0, len(raw) - 4 * words + 1, 4)])
+        if ids:
+            lo, hi = min(ids), max(ids)
+            for w in windows[-1]:
+                low[w], high[w] = min(low.get(w, lo), lo), max(high.get(w, hi), hi)
+    out = []
+    for mine in windows:
+        again = np.array([False, *(w in low and low[w] < high[w] for w in mine), False])
+        edges = np.flatnonzero(again[1:] != again[:-1]).tolist()
+        out.append([(lo, end - 1, NO_DOC) for lo, end in zip(edges[::2], edges[1::2])])
+    return out
+
+
+def _kernel(length: int, firsts: bool, words: int = 0):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in groups(batches):
             least = [min((NO_DOC if doc is None else doc for _, _, doc, _ in r.places), default=NO_DOC) for r in group]
-            found = shared_windows([(r.text, r.at, r.n, doc) for r, doc in zip(group, least)], length, firsts)
+            if words and group[0].route & 1:
+                found = shared_passages(group, words)
+            else:
+                found = shared_windows([(r.text, r.at, r.n, doc) for r, doc in zip(group, least)], length, firsts)
             for region, ranges in zip(group, found):
                 for lo, hi, first in ranges:
                     out.extend((key, th, lo, hi, None if first == NO_DOC else first, starts) for key, th, _, starts in region.places)
@@ -197,20 +225,25 @@ def _kernel(length: int, firsts: bool):
     return kernel
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 20_000, words: int = 0) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each removed run, in bytes) and kept bytes of every row.
 
     A byte goes if some string of `length` bytes that covers it also starts anywhere else, in another
     row or in the same one; overlapping occurrences count, strings never cross rows. Null texts count
     as empty; repeated rows are occurrences of their own; an empty table gives no rows. Grams in
     more than `hot` texts or 8 * `hot` places are decided by counting their windows instead of sorting them.
+
+    With `words`, n_passage_words more: how many words of the row are covered by passages of `words`
+    words that stand in documents of two doc_ids or more. It says what strings of `length` bytes are
+    too long to see, and removes nothing. Words are parted by the six ASCII white-space characters
+    and else unchanged; rows without a doc_id are no document that a passage stands in.
     """
     source = documents(docs)
 
     def cuts(text: bytes, doc: int | None, found: list[tuple]) -> list[tuple[int, int]]:
         return merged([(lo, hi) for lo, hi, _ in found], length)
 
-    return _cut(source, source, length, hot, cuts).select("doc_id", "n_bytes", "spans", "kept")
+    return _cut(source, source, length, hot, cuts, words=words).select("doc_id", "n_bytes", "spans", "kept", *(["n_passage_words"] if words else []))
 
 
 def whole_words(text: bytes, start: int, end: int) -> tuple[int, int]:
@@ -254,24 +287,28 @@ def _joined(parts: list[bytes]) -> str:
     return out
 
 
-def _cut(source: DataFrame, docs: DataFrame, length: int, hot: int, cuts: Callable, as_text: bool = False) -> DataFrame:
-    """docs with n_bytes, spans and kept bytes, or as_text the whole characters among them.
+def _cut(source: DataFrame, docs: DataFrame, length: int, hot: int, cuts: Callable, as_text: bool = False, words: int = 0) -> DataFrame:
+    """docs with n_bytes, spans and kept bytes, or as_text the whole characters among them; with words n_passage_words too.
 
     cuts(text, doc_id, ranges of recurring windows) gives the ranges that go; without as_text nothing
     asks for first documents, so they are not looked for.
     """
     d = keyed(docs, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rest = ["rest"] if "rest" in d.columns else []
-    spans = recurring_spans(source, d, Bytes(length), _kernel(length, as_text), lambda n, lo, hi: n > 1, hot, by_document=False)
+    kinds, recurs = (Bytes(length),), (lambda n, lo, hi: n > 1,)
+    if words:
+        kinds, recurs = (*kinds, Words(words)), (*recurs, lambda n, lo, hi: lo < hi)
+    spans = recurring_spans(source, d, kinds, _kernel(length, as_text, words), recurs, hot, by_document=False)
     found = d.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "th", "spans", *rest)
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
+    more += [T.StructField("n_passage_words", T.LongType())] if words else []
     schema = T.StructType([*(d.schema[c] for c in ("doc_id", *rest)), *more])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            sizes, gone, kept = [], [], []
+            sizes, gone, kept, passages = [], [], [], []
             for doc, text, th, found in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), b.column(3).to_pylist()):
                 out = cuts(text, doc, list(windows_of(found, th)))
                 edges = [0, *(x for c in out for x in c), len(text)]
@@ -279,6 +316,9 @@ def _cut(source: DataFrame, docs: DataFrame, length: int, hot: int, cuts: Callab
                 kept.append(_joined(parts) if as_text else b"".join(parts))
                 gone.append([{"start": s, "end": e} for s, e in out])
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[4:], pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], schema.names)
+                if words:
+                    passages.append(sum(e - s for s, e in merged([(lo, hi) for lo, hi, _ in windows_of(found, ~th)], words)))
+            columns = [b.column(0), *b.columns[4:], pa.array(sizes, pa.int64()), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(passages, pa.int64())] if words else [])], schema.names)
 
     return found.mapInArrow(finish, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import decontam, html_extract, licenses, packing, phrase_dedup, simhash, suffix_dedup, tokens, topk, toxicity
+from graphloom.llm import decontam, html_extract, licenses, packing, phrase_dedup, queries, simhash, suffix_dedup, tokens, topk, toxicity
 from graphloom.llm.recur import Counters, Shares, anchored_runs
 
 SF = "/root/testdata/sf0.001"
@@ -444,6 +444,47 @@ def test_repeated_windows(spark, hot):
     assert Counter(got) == Counter(brute_bytes(rows, 60))
 
 
+def brute_shared_words(rows, words):
+    """Words of each row in strings of `words` words that rows of two doc_ids hold."""
+    texts = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    held = {}
+    for d, w in texts:
+        for i in range(len(w) - words + 1):
+            held.setdefault(tuple(w[i : i + words]), set()).add(d)
+    out = []
+    for _, w in texts:
+        in_one = set()
+        for i in range(len(w) - words + 1):
+            if len(held[tuple(w[i : i + words])] - {None}) > 1:
+                in_one.update(range(i, i + words))
+        out.append(len(in_one))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("length, words", [(60, 13), (20, 2), (400, 51)])
+def test_passages_of_words_beside_strings_of_bytes(spark, length, words, hot):
+    rows = some_copies(3) + [(200, "b " * 90), (None, "c " * 90), (None, "c " * 90), (201, "d " * 90), (201, "d " * 95), (None, "d " * 60), (202, "e\u00a0f " * 80), (203, "e\u00a0f\t" * 80)]
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept), r.n_passage_words) for r in suffix_dedup.remove_repeats(frame(spark, rows), length, hot, words).collect()]
+    want = [(*b, n) for b, n in zip(brute_bytes(rows, length), brute_shared_words(rows, words))]
+    assert Counter(got) == Counter(want) and (words > 13 or any(x[5] for x in want))
+
+
+def test_op8_tells_of_passages_shorter_than_its_strings(spark, tmp_path):
+    rnd = random.Random(8)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    sizes = (51, 53, 60, 90)
+    passages = [prose(n) for n in sizes]
+    rows = [(d, f"{prose(40)} {passages[d % 4]} {prose(30)}") for d in range(24)] + [(100 + d, prose(120)) for d in range(10)]
+    rows += [(200, prose(50)), (201, None), (202, "")]
+    rows += [(203, rows[-3][1])]  # of 50 words only
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(d, got[d].n_passage_words) for d, _ in rows] == [(d, sizes[d % 4] if d < 24 else 0) for d, _ in rows]
+    assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in map(got.get, (d for d, _ in rows))] == [b[:4] for b in brute_bytes(rows, 400)]
+    assert all(len(p.encode()) < 400 and got[d].n_removed == 0 for p, d in zip(passages[:3], range(3)))
+
+
 def test_windows_shorter_than_a_gram(spark):
     rows = some_copies(2)
     got = [(r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(frame(spark, rows), 20).collect()]
