@@ -131,11 +131,9 @@ class Bytes:
         sizes = np.array([len(t) for t in texts], np.int64)
         return byte_codes()[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum(sizes) - sizes, sizes
 
-    def split(self, text: bytes) -> bytes:
-        return text
-
-    def join(self, units: bytes) -> bytes:
-        return units
+    def pieces(self, text: bytes) -> Callable[[int, int], bytes]:
+        """What stands from one unit up to another."""
+        return lambda lo, hi: text[lo:hi]
 
 
 class Words:
@@ -160,11 +158,12 @@ class Words:
         first = np.searchsorted(begin, offsets)
         return words, first, np.diff(np.append(first, len(begin)))
 
-    def split(self, text: bytes) -> list[bytes]:
-        return text.split()
-
-    def join(self, units: list[bytes]) -> bytes:
-        return b" ".join(units)
+    def pieces(self, text: bytes) -> Callable[[int, int], bytes]:
+        """The words from one up to another, with one space between them."""
+        words = text.split()
+        line = b" ".join(words)
+        at = [0, *np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()]
+        return lambda lo, hi: line[at[lo] : at[hi] - 1]
 
 
 def _long_text(kind, text: bytes):
@@ -340,27 +339,29 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kinds: tuple, kernel: Ca
     hits = seen.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "hot", "n")).alias("gs"))
 
     def wanted(batches: Iterator[pa.RecordBatch], often: bool) -> Iterator[tuple]:
-        """(kind's number, key, th, doc_id, units, first windows, last windows, anchors, grams) of texts, for their wanted grams."""
+        """(kind's number, key, th, doc_id, pieces(), first windows, last windows, anchors, grams) of texts, for their wanted grams."""
         for b in batches:
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             texts = _raw(col["text"])
+            at = col["gs"].offsets.to_numpy()
+            fields = dict(zip(("g", "hot", "n"), col["gs"].values.flatten()))
+            named, hot = (fields[c].to_numpy(zero_copy_only=False) for c in ("g", "hot"))
             for k, i, a, z, p, g in runs_of_kinds(kinds, texts):
-                want = [x["g"] for x in col["gs"][i].as_py() if x["hot"] == often]
+                mine = slice(at[i], at[i + 1])
                 signed, key = g.view(np.int64), col["key"][i].as_py()
-                take = np.isin(large.dealt(signed, key), np.array(want, np.int64))
+                take = np.isin(large.dealt(signed, key), named[mine][hot[mine] == often])
                 if take.any():
                     found = (x[take].tolist() for x in (a, z, p, signed))
                     th = col["th"][i].as_py()
-                    yield k, key, ~th if k else th, col["doc_id"][i].as_py(), kinds[k].split(texts[i]), *found
+                    yield k, key, ~th if k else th, col["doc_id"][i].as_py(), kinds[k].pieces(texts[i]), *found
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        for k, key, th, doc, units, *found in wanted(batches, False):
-            kind = kinds[k]
+        for k, key, th, doc, piece, *found in wanted(batches, False):
             mine: dict[tuple, list[int]] = {}
             for lo, hi, at, gram in zip(*found):
-                region = kind.join(units[lo : hi + kind.length])
+                region = piece(lo, hi + kinds[k].length)
                 mine.setdefault((gram, at - lo, region), []).append(lo)
                 held += len(region)
                 if held > 8 << 20:
@@ -373,12 +374,11 @@ def recurring_spans(source: DataFrame, docs: DataFrame, kinds: tuple, kernel: Ca
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for k, key, th, doc, units, *found in wanted(batches, True):
-            kind = kinds[k]
+        for k, key, th, doc, piece, *found in wanted(batches, True):
             mine: dict[int, list[int]] = {}
             for lo, hi, _, _ in zip(*found):
                 for w in range(lo, hi + 1):
-                    h = xxhash.xxh3_128_intdigest(kind.join(units[w : w + kind.length]))
+                    h = xxhash.xxh3_128_intdigest(piece(w, w + kinds[k].length))
                     mine.setdefault(h if len(kinds) == 1 else (h & ~1) | k, []).append(w)
                 if len(out) + len(mine) > 50_000:
                     yield batch([*out, *((key, th, doc, *halves(h), len(s), packed(s)) for h, s in mine.items())], WINDOWS)

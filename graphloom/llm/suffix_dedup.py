@@ -183,10 +183,12 @@ def shared_windows(regions: list[tuple[bytes, int, int, int]], length: int, firs
 def shared_passages(group: list[Region], words: int) -> list[list[tuple[int, int, int]]]:
     """For each distinct region of words the ranges of its windows that stand in documents of two doc_ids."""
     docs = [[doc for _, _, doc, _ in r.places if doc is not None] for r in group]
-    low: dict[bytes, int] = {}
-    high: dict[bytes, int] = {}
     if len({doc for ids in docs for doc in ids}) < 2:
         return [[] for _ in group]
+    if len(group) == 1:  # it recurs as a whole
+        return [[(0, group[0].text.count(b" ") + 1 - words, NO_DOC)]]
+    low: dict[bytes, int] = {}
+    high: dict[bytes, int] = {}
     numbers: dict[bytes, int] = {}
     windows = []
     for region, ids in zip(group, docs):
